@@ -80,3 +80,37 @@ def shingle_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id's text leaves ``part`` on division by ``parts``."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def add_columns(df: DataFrame, inputs: list[str], make, fields: dict[str, tuple[str, object]]) -> DataFrame:
+    """``df`` with the columns of ``fields`` (name -> Spark type, Arrow type) that ``make`` computes a batch at a time.
+
+    ``make`` is called once a task and returns a function from lists of the ``inputs`` to a list of
+    columns. Columns of ``df`` that have a name of ``fields`` are replaced.
+    """
+    import pyarrow as pa
+
+    kept = [c for c in df.columns if c not in fields]
+    missing = [c for c in inputs if c not in kept]
+    source = df.select(*kept, *[F.col(c).alias(f"__{c}") for c in missing])
+    names = [f"__{c}" if c in missing else c for c in inputs]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema] + [f"`{n}` {t[0]}" for n, t in fields.items()])
+    kinds = [t[1] for t in fields.values()]
+    out_names = [*kept, *fields]
+
+    def run(batches):
+        each = make()
+        for batch in batches:
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            made = each(*[batch.column(at[n]).to_pylist() for n in names])
+            arrays = [batch.column(at[c]) for c in kept] + [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=out_names)
+
+    return source.mapInArrow(run, schema)
+
+
+def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is among the ``n`` distinct keys of least hash; the same rows on every run."""
+    hashed = df.withColumn("__h", F.xxhash64(key))
+    last = hashed.select("__h").distinct().orderBy("__h").limit(n).agg(F.max("__h")).first()[0]
+    return hashed.filter(F.col("__h") <= F.lit(last)).drop("__h")
