@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: query name -> module that holds a function of that name, and ORACLE where SQL can express it
 MODULES = {
+    "op2_quality": "quality",
+    "op4_toxicity": "toxicity",
     "op7_token_counts": "token_counts",
     "op3_pii": "pii",
     "op5_decontamination": "decontamination",
