@@ -6,6 +6,9 @@ from importlib import import_module
 
 #: query name -> module that holds a function of that name, and ORACLE where SQL can express it
 MODULES = {
+    "op9_mixing": "mixing",
+    "op10_language_id": "language_id",
+    "pages_languages": "language_id",
     "op1_ngram_join": "ngram_join",
     "op2_quality": "quality",
     "op4_toxicity": "toxicity",
