@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module that holds a function of that name, and ORACLE where SQL can express it
 MODULES = {
+    "op8_fingerprints": "fingerprints",
     "op9_mixing": "mixing",
     "op10_language_id": "language_id",
     "pages_languages": "language_id",
