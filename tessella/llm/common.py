@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -29,6 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like ``cut``, but compressed and read by column."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pieces(batches, rows: int = 1000):
+    """Arrow batches cut into smaller ones, so that their Python objects stay few at a time."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to lower case and nothing else."""
     return F.translate(text, _UPPER, _UPPER.lower())
@@ -42,7 +57,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 class WordIds(dict):
     """word (bytes) -> 64-bit hash; forgets everything at ``most`` entries, so memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -100,7 +115,7 @@ def add_columns(df: DataFrame, inputs: list[str], make, fields: dict[str, tuple[
 
     def run(batches):
         each = make()
-        for batch in batches:
+        for batch in pieces(batches):
             at = {name: k for k, name in enumerate(batch.schema.names)}
             made = each(*[batch.column(at[n]).to_pylist() for n in names])
             arrays = [batch.column(at[c]) for c in kept] + [m if isinstance(m, pa.Array) else pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]

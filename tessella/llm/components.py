@@ -1,30 +1,53 @@
-"""Connected components of an edge list by repeated contraction towards smaller ids."""
+"""Connected components of an edge list by stars: each round joins what meets in a partition."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
+def _stars(batches):
+    """Union-find over a partition's edges; a row (node, root) for each node seen, the root being the least."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = np.fromiter(parent, dtype=np.int64, count=len(parent))
+    roots = np.fromiter((find(x) for x in parent), dtype=np.int64, count=len(parent))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the label is the component's least node.
 
-    Each round sends a node to the least of itself and its neighbours, twice over, and keeps the edges
-    between what is left. Ids in random order make the edges fewer by a constant factor a round. Every
-    round is checkpointed; nothing but a count reaches the driver. An empty list gives no rows.
+    A round deals every edge to the partitions of both ends, joins what meets there, and goes on with an
+    edge from each node to its least one. Once each node has one root wherever it was seen, connected
+    nodes share it, and the rounds end. A task holds its own partition's nodes only; a node of very many edges
+    has them replaced by one a partition in the first round. An empty list gives no rows.
     """
-    rest = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    roots = cut(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().withColumn("label", F.col("node")))
-    while not rest.isEmpty():
-        both = rest.union(rest.select("b", "a")).toDF("node", "other")
-        parent = cut(both.groupBy("node").agg(F.min("other").alias("p")).select("node", F.least("node", "p").alias("p")))
-        jump = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        parent = cut(parent.join(jump, "p", "left").select("node", F.coalesce("pp", "p").alias("p")))
-        of_label = parent.select(F.col("node").alias("label"), "p")
-        roots = cut(roots.join(of_label, "label", "left").select("node", F.coalesce("p", "label").alias("label")))
-        to_a, to_b = parent.toDF("a", "pa"), parent.toDF("b", "pb")
-        moved = rest.join(to_a, "a").join(to_b, "b").filter("pa <> pb")
-        rest = cut(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    return roots
+    rest = edges.select("a", "b").distinct()
+    while True:
+        # Before the shuffle, edges are made few: what a task holds is joined where it is.
+        near = rest.mapInArrow(_stars, "node bigint, label bigint").toDF("a", "b")
+        both = near.union(near.select("b", "a")).toDF("a", "b")
+        stars = cut(both.repartition("a").mapInArrow(_stars, "node bigint, label bigint"))
+        if stars.groupBy("node").agg((F.min("label") != F.max("label")).alias("split")).filter("split").isEmpty():
+            return stars.distinct()
+        rest = stars.distinct().toDF("a", "b")

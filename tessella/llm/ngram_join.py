@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, ascii_words, cut, mix, shingle_hashes
+from .common import WordIds, ascii_words, cut, mix, pieces, shingle_hashes, stage
 from .components import components
 
 #: Members of a tile that are compared in one task; larger tiles are cut, and their cuts compared in pairs.
@@ -93,14 +93,30 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
-def forest(bands: Bands, sizes: np.ndarray, bits: list[np.ndarray], side: np.ndarray | None, group: np.ndarray, refuted: dict[int, set[int]]) -> list[tuple[int, int]]:
-    """Pairs whose bitmaps allow the similarity and that join different groups, each group once.
+def pack(elements: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes; they keep the order, and tell the elements of two sets apart."""
+    return (elements >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    ``sizes`` ascend. With ``side``, only pairs across sides count. ``refuted`` holds known failures.
+
+def unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def allowed_pairs(bands: Bands, sizes: np.ndarray, bits: list[np.ndarray], side: np.ndarray | None, linked: list[tuple[int, int]], refuted: dict[int, set[int]]) -> list[tuple[int, int, bool]]:
+    """Pairs whose bitmaps allow the similarity, each (a, b, sure), between groups that nothing else joins.
+
+    ``sizes`` ascend. With ``side``, only pairs across sides count. ``linked`` and ``refuted`` are known
+    pairs. Pairs that are sure beyond what collisions of bits explain join their groups at once, so that a group
+    takes one of them; the others join nothing, and all of them between different groups are given.
     """
     words = min(map(len, bits))
     table = np.stack([fold(b, words) for b in bits])
-    group, edges = group.copy(), []
+    group, found = np.arange(len(sizes)), []
+    for a, b in linked:
+        group[group == group[a]] = group[b]
+    open_pairs: list[tuple[int, int]] = []
     for i in range(1, len(sizes)):
         low = int(np.searchsorted(sizes, -(-int(sizes[i]) * bands.num // bands.den)))
         open_ = group[low:i] != group[i]
@@ -111,13 +127,17 @@ def forest(bands: Bands, sizes: np.ndarray, bits: list[np.ndarray], side: np.nda
             continue
         differ = np.bitwise_count(table[at] ^ table[i]).sum(axis=1, dtype=np.int64)
         # Of the elements in one set only, some fall on the same bit, but none flips more than one.
-        common = (sizes[at] + sizes[i] - differ) // 2
-        at = at[bands.den * common >= bands.num * (sizes[at] + sizes[i] - common)]
-        for j in at:
+        total = sizes[at] + sizes[i]
+        most = total * (bands.den - bands.num) // (bands.den + bands.num)  # such elements, of a similar pair
+        at, differ, most = at[differ <= most], differ[differ <= most], most[differ <= most]
+        hidden = differ.astype(float) ** 2 / (128.0 * words)  # pairs of elements on one bit, expected
+        sure = differ + 2 * (hidden + 2 * np.sqrt(hidden + 0.25)) <= most
+        for j in at[sure]:
             if group[j] != group[i] and int(j) not in refuted.get(i, ()):
-                edges.append((int(j), i))
+                found.append((int(j), i, True))
                 group[group == group[j]] = group[i]
-    return edges
+        open_pairs += [(int(j), i) for j in at[~sure] if group[j] != group[i] and int(j) not in refuted.get(i, ())]
+    return found + [(j, i, False) for j, i in open_pairs if group[j] != group[i]]
 
 
 def _runs(values: list[np.ndarray]) -> np.ndarray:
@@ -139,7 +159,7 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
 
     def expand(batches):
         ids, seen = WordIds(), set()
-        for batch in batches:
+        for batch in pieces(batches):
             tids, sizes, nodes, keys, of = batch.column("tid"), [], [], [], []
             for text in batch.column("text").to_pylist():
                 elements = shingle_hashes(ids.array(ascii_words(text)), n)
@@ -233,30 +253,31 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, n, bits, elements) of ``nodes``, from one text of each."""
-    wanted = cut(members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("tid").alias("tid")).select("tid"))
+    """(node, n, bits, elements) of ``nodes``, each from one row of ``docs``; rows repeated in full may give it again."""
+    wanted = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("tid", F.col("id").isNull().alias("none"), "id")).alias("row"))
+    wanted = cut(wanted.select(F.col("row.tid").alias("w_tid"), F.col("row.id").alias("w_id")).distinct())
     if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         wanted = F.broadcast(wanted)
 
     def run(batches):
         ids, seen = WordIds(), set()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for tid, text in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if tid not in seen:
                     seen.add(tid)  # one a representative: as many as this task's share of them
                     e = shingle_hashes(ids.array(ascii_words(text)), n)
-                    rows.append((np.uint64(xxhash.xxh3_64_intdigest(e.tobytes())).view(np.int64), len(e), bitmap(e).tobytes(), e.tobytes()))
+                    rows.append((np.uint64(xxhash.xxh3_64_intdigest(e.tobytes())).view(np.int64), len(e), bitmap(e).tobytes(), pack(e)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "bits", "elements"])
 
-    texts = docs.select("tid", "text").join(wanted, "tid", "left_semi")
-    return texts.mapInArrow(run, "node bigint, n bigint, bits binary, elements binary").dropDuplicates(["node"])
+    texts = docs.join(wanted, (F.col("tid") == F.col("w_tid")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi").select("tid", "text")
+    return texts.mapInArrow(run, "node bigint, n bigint, bits binary, elements binary")
 
 
 def _compare(units: DataFrame, bands: Bands) -> DataFrame:
-    """Edges (cell, a, b) that each unit's bitmaps allow; ``units`` has cell, i, j, tile, node, n, bits, label, refuted."""
+    """Edges (cell, a, b, sure) that each unit's bitmaps allow; ``units`` has cell, i, j, tile, node, n, bits, and known partners ``good`` and ``bad``."""
 
     def run(batches):
         held: list[tuple] = []
@@ -264,18 +285,20 @@ def _compare(units: DataFrame, bands: Bands) -> DataFrame:
         def solve(rows):
             side = np.array([r["tile"] for r in rows]) if rows[0]["i"] != rows[0]["j"] else None
             node_at = {r["node"]: k for k, r in enumerate(rows)}
-            refuted = {k: {node_at[x] for x in r["refuted"] or () if x in node_at} for k, r in enumerate(rows)}
-            labels = np.array([r["label"] for r in rows], dtype=np.int64)
+            here = lambda k, c: {node_at[x] for x in rows[k][c] or () if x in node_at}
+            refuted = {k: here(k, "bad") for k in range(len(rows)) if rows[k]["bad"]}
+            linked = [(k, x) for k in range(len(rows)) if rows[k]["good"] for x in here(k, "good")]
             bits = [np.frombuffer(r["bits"], dtype=np.uint64) for r in rows]
             sizes = np.array([r["n"] for r in rows], dtype=np.int64)
-            for a, b in forest(bands, sizes, bits, side, labels, refuted):
-                yield rows[0]["cell"], rows[a]["node"], rows[b]["node"]
+            for a, b, sure in allowed_pairs(bands, sizes, bits, side, linked, refuted):
+                yield rows[0]["cell"], rows[a]["node"], rows[b]["node"], sure
 
         def emit(found):
-            columns = list(zip(*found, strict=True)) if found else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cell", "a", "b"])
+            columns = list(zip(*found, strict=True)) if found else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cell", "a", "b", "sure"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             for row in batch.to_pylist():
                 if held and any(row[c] != held[0][c] for c in ("cell", "i", "j")):
@@ -287,22 +310,25 @@ def _compare(units: DataFrame, bands: Bands) -> DataFrame:
             yield emit(list(solve(held)))
 
     dealt = units.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "n", "node")
-    return dealt.mapInArrow(run, "cell bigint, a bigint, b bigint")
+    return dealt.mapInArrow(run, "cell bigint, a bigint, b bigint, sure boolean")
 
 
 def _verify(pairs: DataFrame, contents: DataFrame, bands: Bands) -> DataFrame:
     """``pairs`` (a, b) with ``ok``: whether their sorted arrays intersect enough."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ok = []
             for x, y in zip(batch.column("ea").to_pylist(), batch.column("eb").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                u, v = unpack(x), unpack(y)
                 ok.append(bands.similar(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    left = contents.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
-    right = contents.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
+    # Only sets that some pair asks for are dealt out.
+    asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    asked = F.broadcast(asked) if asked.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else asked
+    needed = contents.join(asked, "node", "left_semi").select("node", "elements")
+    left, right = needed.toDF("a", "ea"), needed.toDF("b", "eb")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint, ok boolean")
 
 
@@ -318,36 +344,34 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     """
     bands = Bands(num, den)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    found = cut(_cells(rows, bands, n))
+    found = stage(_cells(rows, bands, n))
     members = found.filter("doc is not null").select("doc.*", "node")
     cells = cut(found.filter("doc is null").select("cell", "tile", "node").distinct())
-    contents = cut(_contents(rows, members, cells.select("node").distinct(), n))
+    contents = stage(_contents(rows, members, cells.select("node").distinct(), n))
     many = cells.filter("tile > 0").groupBy("cell").agg(F.max("tile").alias("last"))
-    pairs = F.when(F.col("last").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+    cuts = F.when(F.col("last").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j")))
     )
-    units = cells.join(many, "cell", "left").select("cell", "tile", "node", F.explode(pairs).alias("u")).select("cell", "tile", "node", "u.i", "u.j")
+    units = cells.join(many, "cell", "left").select("cell", "tile", "node", F.explode(cuts).alias("u")).select("cell", "tile", "node", "u.i", "u.j")
     small = contents.select("node", "n", "bits")
 
-    labels, edges, refuted = None, None, None
+    blank = F.lit(None).cast("array<bigint>")
+    todo = units.join(small, "node").withColumns({"good": blank, "bad": blank})
+    known = None
     while True:
-        if labels is None:
-            todo = units.join(small, "node").withColumns({"label": F.col("node"), "refuted": F.lit(None).cast("array<bigint>")})
-        else:
-            # Only tiles that relied on an edge which did not hold need another look.
-            failed = refuted.union(refuted.select("b", "a")).toDF("node", "x").groupBy("node").agg(F.collect_set("x").alias("refuted"))
-            todo = units.join(again, "cell", "left_semi").join(small, "node").join(labels, "node", "left").join(failed, "node", "left")
-            todo = todo.withColumn("label", F.coalesce("label", "node"))
         candidates = cut(_compare(todo, bands))
-        checked = cut(_verify(candidates.select("a", "b").distinct(), contents, bands))
-        good, bad = checked.filter("ok").select("a", "b"), checked.filter("not ok").select("a", "b")
-        edges = good if edges is None else edges.union(good)
-        if bad.isEmpty():
+        pairs = cut(candidates.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")))
+        checked = cut(_verify(pairs.select("a", "b"), contents, bands))
+        known = checked if known is None else known.union(checked)
+        failed = checked.filter("not ok").join(pairs.filter("sure"), ["a", "b"]).select("a", "b")
+        if failed.isEmpty():
             break
-        refuted = bad if refuted is None else refuted.union(bad)
-        again = cut(candidates.join(bad, ["a", "b"], "left_semi").select("cell").distinct())
-        labels = components(edges)
-    labels = components(edges)
+        # Only tiles that relied on an edge which did not hold need another look, with what is known by now.
+        again = candidates.join(failed, ["a", "b"], "left_semi").select("cell").distinct()
+        ends = known.union(known.select("b", "a", "ok")).toDF("node", "x", "ok")
+        ends = ends.groupBy("node").agg(*[F.collect_set(F.when(F.col("ok") == ok, F.col("x"))).alias(c) for ok, c in ((True, "good"), (False, "bad"))])
+        todo = units.join(again, "cell", "left_semi").join(small, "node").join(ends, "node", "left")
+    labels = components(known.filter("ok"))
 
     least = members.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left")
     least = cut(least.select("node", F.coalesce("label", "node").alias("label"), "id"))
