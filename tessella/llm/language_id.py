@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns
+from .common import add_columns, cut, pieces
 
 BUCKETS = 4096
 #: Trigrams of a text count as so many independent ones, at most.
@@ -36,7 +36,7 @@ def train_text(docs: DataFrame, text: str = "text", declared: str = "lang") -> t
 
     def run(batches):
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if t and lang:
                     if lang not in totals:
@@ -112,7 +112,7 @@ def identify(
     rows = rows.withColumn("__declared", known)
     scored = _with_likelihood(rows, langs, logp)
     keys = _with_likelihood(rows.select("__text", "__declared", "__host", "__suffix"), langs, logp)
-    counts = keys.filter("__top is not null").groupBy("__host", "__suffix", "__declared", "__top").agg(F.count("*").alias("n"))
+    counts = cut(keys.filter("__top is not null").groupBy("__host", "__suffix", "__declared", "__top").agg(F.count("*").alias("n")))
 
     size, a_lang = len(langs), range(len(langs))
     confusion = np.ones((size + 2, size))
