@@ -18,7 +18,8 @@ FACTORS = 8
 BINS = 10
 #: Labelled documents to learn from, at most.
 SAMPLE = 6000
-EPOCHS = 6
+#: Passes over the sample, and steps of the fit at least; small samples are passed over more often.
+EPOCHS, LEAST_STEPS = 6, 500
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -87,7 +88,7 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, y: np.ndarray, epochs: int
     mean = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     m = Machine(float(np.log(mean / (1 - mean))), np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)), edges)
     g_w, g_v, g_b = np.full(size, 1e-3), np.full((size, FACTORS), 1e-3), 1e-3
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
