@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, ascii_words, mix
+from .common import WordIds, ascii_words, mix, pieces, small_batches
 
 #: Terms in at least and at most these shares of all documents make the lexicon. It has at most
 #: (mean number of distinct terms a document) / LEAST_SHARE terms, whatever the number of documents.
@@ -20,10 +20,13 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
 LEXICONS, WHOLE_LEXICONS = 48, 24
 #: Terms that a document should have in a lexicon, about.
 TERMS = 0.7
+#: Terms of texts that a task holds before it counts them and passes the counts on.
+COUNTED_AT_ONCE = 4_000_000
 #: Texts with fewer terms of the band are compared over all their terms.
 LEAST_TERMS = 12
 
-_SALTS = mix(np.arange(1, LEXICONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: An odd factor a lexicon: a term is in it at level j if the upper j bits of their product are 0.
+_FACTORS = mix(np.arange(1, LEXICONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -38,15 +41,23 @@ class View:
         n = len(terms)
         if not n:
             return View(0, {})
-        drawn, value, levels = mix(terms[None, :] ^ _SALTS[:lexicons, None]), mix(terms + np.uint64(0x2545F4914F6CDD1D)), {}
-        for j in range(_level(n), _level(n) + depth):
-            member = (drawn & np.uint64((1 << j) - 1)) == 0
-            total = np.where(member, value[None, :], np.uint64(0)).sum(axis=1, dtype=np.uint64)
-            levels[j] = np.where(member.any(axis=1), (mix(total) >> np.uint64(48)) | np.uint64(1), np.uint64(0))
+        value, first = mix(terms + np.uint64(0x2545F4914F6CDD1D)), _level(n)
+        most = np.array([(1 << (64 - j)) - 1 for j in range(first, first + depth)], dtype=np.uint64)
+        drawn = terms[None, :] * _FACTORS[:lexicons, None]
+        # Levels are nested: of the lowest one's few members, the higher ones take some.
+        at = np.flatnonzero(drawn.ravel() <= most[0])
+        which, term = np.divmod(at, n)
+        top = (drawn.ravel()[at][:, None] <= most).sum(axis=1) - 1
+        place, total = top * lexicons + which, np.zeros(depth * lexicons, dtype=np.uint64)
+        np.add.at(total, place, value[term])
+        count = np.bincount(place, minlength=depth * lexicons).reshape(depth, lexicons)
+        total, count = np.cumsum(total.reshape(depth, lexicons)[::-1], axis=0)[::-1], np.cumsum(count[::-1], axis=0)[::-1]
+        hashes = np.where(count > 0, (mix(total) >> np.uint64(48)) | np.uint64(1), np.uint64(0))
+        levels = dict(zip(range(first, first + depth), hashes, strict=True))
         return View(n, levels)
 
     def text(self) -> str:
-        return f"{self.n}" + "".join(f"|{j}:" + "".join(f"{v:04x}" if v else "----" for v in h.tolist()) for j, h in self.levels.items())
+        return f"{self.n}" + "".join(f"|{j}:{h.astype('>u2').tobytes().hex()}" for j, h in self.levels.items())
 
     def likeness(self, other: View) -> float:
         """Share of equal hashes among the lexicons that hold terms of either, at the larger one's level."""
@@ -97,11 +108,19 @@ def lexicon_of(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Sorted hashes of the terms within the band, by document frequencies over all of ``docs``."""
 
     def run(batches):
-        ids = WordIds()
-        for batch in batches:
-            found = [np.unique(ids.array(ascii_words(t))) for t in batch.column(0).to_pylist()]
+        def counted(found):
             terms, n = np.unique(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
+
+        ids, found, held = WordIds(), [], 0
+        for batch in pieces(batches):
+            for t in batch.column(0).to_pylist():
+                found.append(np.unique(ids.array(ascii_words(t))))
+                held += len(found[-1])
+            if held > COUNTED_AT_ONCE:
+                yield counted(found)
+                found, held = [], 0
+        yield counted(found)
 
     counts = docs.select(F.col(text)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     total = docs.count()
@@ -118,6 +137,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
     that one task each sorts, and only each range's first row is known to others; so no task holds the table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lexicon = spark.sparkContext.broadcast(lexicon_of(rows))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
