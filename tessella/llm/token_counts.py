@@ -11,12 +11,16 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, pieces
+
 MODEL = "piece_bpe_32k.model"
 #: Frequent pre-tokens whose counts are broadcast; the others join by shuffle.
 HEAD = 250_000
 LIMIT = 4096
-#: A pre-token that a batch holds less often than this can't bring itself into the head.
+#: A pre-token that a task's share holds less often than this can't bring itself into the head.
 LOCAL_LEAST = 4
+#: Distinct pre-tokens that a task counts before it passes its counts on.
+COUNTED_AT_ONCE = 400_000
 
 # A space only begins pieces of the model, and no piece has a line feed; so no merge crosses these borders.
 _PRE_TOKEN = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
@@ -58,14 +62,20 @@ def _frequent(texts: DataFrame, most: int) -> DataFrame:
     """Pre-tokens of the highest counts over all texts, ``most`` at the most."""
 
     def run(batches):
-        for batch in batches:
-            seen: Counter[str] = Counter()
+        def counted(seen):
+            kept = {t: n for t, n in seen.items() if n >= LOCAL_LEAST and len(t) <= 64}
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["token", "n"])
+
+        seen: Counter[str] = Counter()
+        for batch in pieces(batches):
             for t in batch.column(0).to_pylist():
                 seen.update(pre_tokens(t or ""))
-            kept = {t: n for t, n in seen.items() if n >= LOCAL_LEAST and len(t) <= 64}
-            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["token", "n"])
+            if len(seen) > COUNTED_AT_ONCE:
+                yield counted(seen)
+                seen.clear()
+        yield counted(seen)
 
-    counts = texts.mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = cut(texts.mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n")))
     # Few distinct counts stand for many tokens; they tell from which count on the head fits.
     sizes = counts.withColumn("n", F.least("n", F.lit(10_000))).groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n"))
     total, least = 0, 10_001
