@@ -37,11 +37,26 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def pieces(batches, rows: int = 1000):
-    """Arrow batches cut into smaller ones, so that their Python objects stay few at a time."""
+#: Rows an Arrow batch. Whole texts are wide: thousands of them in a batch would fill a task's memory on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session from handing more than BATCH_ROWS rows at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def pieces(batches, rows: int = BATCH_ROWS):
+    """Arrow batches cut into smaller ones, so that their Python objects stay few; at the end, freed memory is given back."""
+    import pyarrow as pa
+
     for batch in batches:
         for at in range(0, max(batch.num_rows, 1), rows):
             yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(text: Column) -> Column:
@@ -57,7 +72,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 class WordIds(dict):
     """word (bytes) -> 64-bit hash; forgets everything at ``most`` entries, so memory stays bounded."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -105,6 +120,7 @@ def add_columns(df: DataFrame, inputs: list[str], make, fields: dict[str, tuple[
     """
     import pyarrow as pa
 
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in fields]
     missing = [c for c in inputs if c not in kept]
     source = df.select(*kept, *[F.col(c).alias(f"__{c}") for c in missing])

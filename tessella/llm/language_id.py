@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, cut, pieces
+from .common import add_columns, cut, pieces, small_batches
 
 BUCKETS = 4096
 #: Trigrams of a text count as so many independent ones, at most.
@@ -46,6 +46,7 @@ def train_text(docs: DataFrame, text: str = "text", declared: str = "lang") -> t
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.lower(F.substring_index(F.col(declared), "-", 1)).alias("lang"))
     counts = rows.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in counts})

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, ascii_words, cut, mix, pieces, shingle_hashes, stage
+from .common import WordIds, ascii_words, cut, mix, pieces, shingle_hashes, small_batches, stage
 from .components import components
 
 #: Members of a tile that are compared in one task; larger tiles are cut, and their cuts compared in pairs.
@@ -167,7 +167,7 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
                 node = int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).view(np.int64)) if len(elements) else None
                 nodes.append(node)
                 if node is not None and node not in seen:
-                    if len(seen) > 500_000:
+                    if len(seen) > 100_000:
                         seen.clear()
                     seen.add(node)
                     k = bands.keys(elements).view(np.int64)
@@ -202,7 +202,7 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
                 elif e - s > 1 or gone:
                     name = int(mix(mix(node[s:e].view(np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]) if not gone else int(key[s])
                     if name not in seen or gone:
-                        if len(seen) > 500_000:
+                        if len(seen) > 100_000:
                             seen.clear()
                         seen.add(name)
                         cells.append(np.full(e - s, name))
@@ -218,7 +218,7 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.nulls(len(c), doc_arrow), pa.array(c), pa.array(t, pa.int32()), pa.array(m)], names=["doc", "cell", "tile", "node"])
 
         doc_arrow = None
-        for batch in batches:
+        for batch in pieces(batches, 10_000):
             doc_arrow = batch.column("doc").type
             is_doc = batch.column("doc").is_valid()
             rows = batch.filter(is_doc)
@@ -342,6 +342,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     repeated rows are linked to each other. Texts and shingles are compared by 64-bit hashes. Empty tables
     give no rows; other columns don't matter.
     """
+    small_batches(docs.sparkSession)
     bands = Bands(num, den)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = stage(_cells(rows, bands, n))
