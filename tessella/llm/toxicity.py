@@ -33,16 +33,63 @@ CHANNEL = {
 }
 _SWAP, _WILD, _KEEP_REPEAT, _DROP_REPEAT = 0.7, 2.5, 0.4, 0.5
 _WIDE = {0xFF01 + k: 0x21 + k for k in range(94)} | dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD))
-_TRIGGER = re.compile("[0-9@$!|+*€£¡<(\u0430-\u0459\uff01-\uff5e\u200b-\u200d\u2060\ufeff\u00ad]")
+#: What the decoder reads, as a character class; the triggers are all of it but plain letters.
+_CODED = "".join(map(re.escape, CHANNEL))
+_SIGN = f"[a-z{_CODED}]"
+_TRIGGER = re.compile(f"[*{_CODED}{''.join(map(chr, _WIDE))}]")
 _TRIPLE = re.compile(r"([a-z])\1\1")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[a-z0-9@$!|+](?![^\W_])){3,}")
-_PIECES = re.compile(r"(?<![^\W_])[a-z0-9@$!|+]{1,3}(?:[.\-_*]{1,2}[a-z0-9@$!|+]{1,3}){2,}(?![^\W_])")
+_SPACED = re.compile(rf"(?<![^\W_]){_SIGN}(?:[ .\-_*]{{1,2}}{_SIGN}(?![^\W_])){{3,}}")
+_PIECES = re.compile(rf"(?<![^\W_]){_SIGN}{{1,3}}(?:[.\-_*]{{1,2}}{_SIGN}{{1,3}}){{2,}}(?![^\W_])")
+#: What stands between signs that the decoder can't read; letters without a reading don't part words.
+_RUN = re.compile(rf"(?:[*{_CODED}]|[^\W_])+")
+#: Figures with signs before and after them, and stars: not words.
+_NUMBER = re.compile(r"[+$€£#(<*]*[0-9*]*[!|*]*")
+_SINGLE = {ord(k): v for k, v in CHANNEL.items() if len(v) == 1}
+_PLAIN = re.compile("[a-z]+")
+_DOUBLE = re.compile(r"(.)\1")
+_REPEATS = re.compile(r"([^*])\1{3,}")
+_BETWEEN = re.compile(r"[ .\-_*]+")
+#: Longest word of the lexicon, in bytes. With each letter up to three times it fits into the overlap of two pieces.
+LONGEST = 40
+PIECE, STEP = 4 * LONGEST, LONGEST
 _EDGE = " \t\n\r.,;:!?\"'()[]{}*#%&$<>=-_/\\|+~^`"
 _TOKEN = re.compile(r"\S+")
 #: Bytes that part words: every ASCII character but letters.
 _TO_SPACE = bytes(k if 97 <= k < 123 or k >= 128 else k + 32 if 65 <= k < 91 else 32 for k in range(256))
 _CODES = np.array([k - 96 if 97 <= k < 123 else k - 64 if 65 <= k < 91 else 0 for k in range(256)], dtype=np.int64)
-_SEPARATES = np.isin(np.arange(256), np.frombuffer(b" .-_*\n", dtype=np.uint8))
+#: Bits of a code point: separator, separator but space, sign, letter or digit, sign of _WIDE.
+_KINDS = np.zeros(0x10000, dtype=np.uint8)
+_KINDS[[ord(c) for c in " .-_*"]] |= 1
+_KINDS[[ord(c) for c in ".-_*"]] |= 2
+_KINDS[[ord(c) for c in [*"abcdefghijklmnopqrstuvwxyz", *CHANNEL]]] |= 4
+_KINDS[[k for k in range(0x10000) if chr(k).isalnum()]] |= 8
+_KINDS[list(_WIDE)] |= 16
+
+
+def _kinds(text: str) -> np.ndarray:
+    """The bits of each code point, with three zeros at either end; none beyond the basic plane, which lets more through."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.pad(_KINDS[np.where(points < 0x10000, points, 0)], 3)
+
+
+def _has_spaced(kinds: np.ndarray) -> bool:
+    """Whether _SPACED may match: four signs, each one or two separators after the one before."""
+    sep, sign, word = (kinds & 1) > 0, (kinds & 4) > 0, (kinds & 8) > 0
+    reached = sign[3:-3] & ~word[2:-4]
+    ends = sign[3:-3] & ~word[4:-2] & sep[2:-4]
+    for _ in range(3):
+        before = np.pad(reached, (3, 0))
+        reached = ends & (before[1:-2] | before[:-3] & sep[1:-5])
+        if not reached.any():
+            return False
+    return True
+
+
+def _has_pieces(kinds: np.ndarray) -> bool:
+    """Whether _PIECES may match: two runs of one or two separators with one to three signs between them."""
+    sep, sign = (kinds & 2) > 0, (kinds & 4) > 0
+    at = np.flatnonzero(sep[3:-3] & sign[2:-4] & (sign[4:-2] | sep[4:-2] & sign[5:-1]))
+    return bool((np.diff(at) <= 5).any())
 
 
 @dataclass
@@ -62,6 +109,9 @@ class CharModel:
 
     def decode(self, signs: str, best: int = BEST) -> list[str]:
         """Likeliest letter strings behind ``signs``, best first; signs without a reading end the attempt."""
+        plain = signs.translate(_SINGLE)
+        if _PLAIN.fullmatch(plain) and not _DOUBLE.search(signs):
+            return [plain]  # one reading a sign and no repeats: there is nothing to choose
         states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
         before = ""
         for c in signs:
@@ -117,7 +167,7 @@ class Restorer:
     """Finds disguised words and decodes them; keeps what it has decoded, up to a bound."""
 
     def __init__(self, model: CharModel, lexicon: frozenset[str] = frozenset()):
-        self.model, self.lexicon, self.seen = model, lexicon, {}
+        self.model, self.lexicon, self.seen, self.tokens = model, lexicon, {}, {}
 
     def decode(self, signs: str) -> list[str]:
         """The lexicon's words among the best decodings, or else the best one; nothing for plain words."""
@@ -131,55 +181,66 @@ class Restorer:
 
     def restored(self, text: str) -> list[str]:
         """Words behind leetspeak, look-alike signs, repeated letters and letters set apart."""
-        raw = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-        lower, spots = text.lower(), set()
-        for m in _TRIGGER.finditer(lower):
-            spots.add(m.start())
-        if len(raw) > 2 and ((raw[:-2] == raw[1:-1]) & (raw[2:] == raw[1:-1]) & (_CODES[raw[1:-1]] > 0)).any() or _CASE_RUN.search(text):
-            spots.update(m.start() for m in _TRIPLE.finditer(lower))
-        out, done = [], -1
-        for at in sorted(spots):
+        lower = text.lower()
+        raw = np.frombuffer(lower.encode("utf-8", "replace"), dtype=np.uint8)
+        spots = [m.start() for m in _TRIGGER.finditer(lower)]
+        if len(raw) > 2 and ((raw[:-2] == raw[1:-1]) & (raw[2:] == raw[1:-1]) & (_CODES[raw[1:-1]] > 0)).any():
+            spots = sorted({*spots, *(m.start() for m in _TRIPLE.finditer(lower))})
+        out, done = [], 0
+        for at in spots:
             if at < done:
                 continue
             start = at
-            while start > 0 and at - start < 40 and not lower[start - 1].isspace():
+            while start > done and not lower[start - 1].isspace():
                 start -= 1
             m = _TOKEN.match(lower, start)
             if not m or m.end() <= at:
                 continue
             done = m.end()
-            token = m[0].translate(_WIDE).strip(_EDGE)
+            if m[0] not in self.tokens:
+                if len(self.tokens) > 100_000:
+                    self.tokens.clear()
+                self.tokens[m[0]] = self._token(m[0])
+            out += self.tokens[m[0]]
+        kinds = _kinds(lower)
+        if (kinds & 16).any():
+            lower = lower.translate(_WIDE)
+            kinds = _kinds(lower)
+        if _has_spaced(kinds):
+            out += self._apart(_SPACED, lower)
+        if _has_pieces(kinds):
+            out += self._apart(_PIECES, lower)
+        return out
+
+    def _token(self, token: str) -> list[str]:
+        """Words behind what stands between two spaces, in any length."""
+        out = []
+        for run in _RUN.findall(token.translate(_WIDE)):
             # A sign at the edge may be a letter ("$cum") or just a sign; both readings are tried.
-            whole = m[0].translate(_WIDE).strip(" \t\n\r.,;:?\"'")
-            for signs in dict.fromkeys((token, whole)):
-                if 3 <= len(signs) <= 40 and any("a" <= c <= "z" for c in signs):
-                    out += self.decode(signs)
-        if len(raw) > 6:
-            sep = _SEPARATES[raw]
-            padded = np.concatenate(([True], sep, [True]))
-            alone = padded[:-2] & ~sep & padded[2:]
-            if (alone[:-4] & alone[2:-2] & alone[4:]).any():
-                out += self._apart(_SPACED, lower)
-            inner = sep[1:-1] & (raw[1:-1] != 32) & (_CODES[raw[:-2]] > 0) & (_CODES[raw[2:]] > 0)
-            if inner.sum() > 1:
-                out += self._apart(_PIECES, lower)
+            for signs in dict.fromkeys((run.strip(_EDGE), run)):
+                signs = _REPEATS.sub(r"\1\1\1", signs)
+                if len(signs) >= 3 and not _NUMBER.fullmatch(signs):
+                    out += self.decode(signs) if len(signs) <= LONGEST else self._within(signs)
         return out
 
+    def _within(self, signs: str) -> list[str]:
+        """Words somewhere in ``signs``; long ones are decoded in overlapping pieces."""
+        out = []
+        for at in range(0, max(1, len(signs) - PIECE + STEP), STEP):
+            for word in self.decode(signs[at : at + PIECE]):
+                out += [word, *[w for w in self.lexicon if len(w) > 3 and w in word]]
+        return out
 
     def _apart(self, pattern: re.Pattern, lower: str) -> list[str]:
         """Words whose letters stand apart, also several in a row."""
         out = []
         for m in pattern.finditer(lower):
-            signs = re.sub(r"[ .\-_*]", "", m[0])
-            if 3 <= len(signs) <= 60:
-                for word in self.decode(signs):
-                    out += [word, *[w for w in self.lexicon if len(w) > 3 and w in word]]
+            signs = _REPEATS.sub(r"\1\1\1", _BETWEEN.sub("", m[0]))
+            if len(signs) >= 3:
+                out += self._within(signs)
         return out
 
 
-_CASE_RUN = re.compile(r"([A-Za-z])(?i:\1\1)")
-
-
 @dataclass
 class Scorer:
     chars: CharModel

@@ -180,3 +180,27 @@ def test_sql_gives_the_same_rows(spark, sf, name):
     want = db.execute(oracle_sql()[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in queries()[name](spark, sf).select(*columns).collect())
+
+
+def plain_restorer(*lexicon):
+    text = "you are an idiot and a stupid moron , so the rest of us know it well ; " * 50
+    codes = toxicity._CODES[np.frombuffer(text.encode(), dtype=np.uint8)]
+    counts = np.bincount(codes[:-2] * 729 + codes[1:-1] * 27 + codes[2:])
+    return toxicity.Restorer(toxicity.CharModel.of(dict(enumerate(counts.tolist()))), frozenset(lexicon))
+
+
+@pytest.mark.parametrize(
+    "text", ["y o u a r e a n i d i o t a n d s o o n a n d o n a n d o n t h e r e s t o f u s k n o w i t w e l l a n d s o o n a n d o n a n d o n", "i  d  i  o  t", "i--d--i--o--t", '"1 d 1 0 t"', "id" + "i" * 40 + "ot", "ídiöt", "i--di--0t", "you-1d10t,go", "1d10t" + "know" * 20, "ｉ ｄ ｉ ｏ ｔ"]
+)
+def test_whatever_the_decoder_reads_is_tried(text):
+    assert "idiot" in plain_restorer("idiot").restored(text)
+
+
+def test_gates_let_all_matches_through():
+    rng = np.random.default_rng(5)
+    for _ in range(5000):
+        t = "".join(rng.choice(list("aab0é#( .-_*\"ß\U0001f600 . -"), 12))
+        kinds = toxicity._kinds(t)
+        assert toxicity._has_spaced(kinds) or not toxicity._SPACED.search(t), t
+        assert toxicity._has_pieces(kinds) or not toxicity._PIECES.search(t), t
+    assert plain_restorer().restored("$700 in 2024! and +49123 of #123") == []
