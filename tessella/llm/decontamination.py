@@ -64,6 +64,15 @@ def find_contamination(
     Null texts have no words and no hits. Repeated rows give repeated rows; rows with a null id are kept. An item with a
     null id counts under the empty id. Empty tables and other columns of any name do no harm.
     """
+    return _result(_judged(docs, benchmark, doc_id, text, item_id, item_text, window, broadcast_windows), doc_id)
+
+
+def _body(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, window: int, broadcast_windows: int) -> DataFrame:
+    """doc, body (the hash of the text), n_words, n_hit and items of every row of ``docs``."""
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), words(F.col(item_text)).alias("words"))
     size = F.least(F.size("words"), F.lit(window)).alias("len")
     lengths = sorted(r[0] for r in items.select(size).distinct().collect() if r[0])  # window values at most
@@ -73,11 +82,9 @@ def find_contamination(
         whole = items if n == window else items.filter(F.size("words") == n)
         part = _windows(whole, n, "item").select("hash", F.lit(n).alias("len"), F.slice("words", F.col("pos") + 1, n).alias("gram"), "item")
         grams = part if grams is None else grams.unionByName(part)
-    rows = docs.select(
-        F.col(doc_id).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("body"), words(F.col(text)).alias("words")
-    ).withColumn("n_words", F.size("words").cast("long"))
+    rows = docs.select(F.col(doc_id).alias("doc"), _body(F.col(text)).alias("body"), words(F.col(text)).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     if grams is None:
-        return _result(rows.select("doc", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")), doc_id)
+        return rows.select("doc", "body", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     grams = grams.groupBy("hash", "len", "gram").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
     known = grams.select("hash", "len").distinct()
@@ -114,8 +121,7 @@ def find_contamination(
         F.collect_set(F.when(is_hit, F.struct("pos", "len"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(is_hit, F.col("items")))))).alias("items"),
     )
-    whole = whole.select("doc", "n_words", _covered(F.col("spans")).alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return _result(whole, doc_id)
+    return whole.select("doc", "body", "n_words", _covered(F.col("spans")).alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
 def _result(rows: DataFrame, doc_id: str) -> DataFrame:
@@ -129,10 +135,20 @@ def _result(rows: DataFrame, doc_id: str) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window. Rows with a null id are judged like others."""
-    bad = find_contamination(docs, benchmark, doc_id=doc_id, **options).filter("contaminated").select(F.col(doc_id).alias("bad_id")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["bad_id"]), "left_anti")
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    window: int = WINDOW,
+    broadcast_windows: int = BROADCAST_WINDOWS,
+) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark window; rows with a null or repeated id go by their own text."""
+    judged = _judged(docs, benchmark, doc_id, text, item_id, item_text, window, broadcast_windows).filter("n_hit > 0")
+    bad = judged.select(F.col("doc").alias("bad_id"), F.col("body").alias("bad_body")).distinct()
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["bad_id"]) & (_body(docs[text]) == bad["bad_body"]), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

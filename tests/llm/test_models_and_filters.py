@@ -204,3 +204,14 @@ def test_gates_let_all_matches_through():
         assert toxicity._has_spaced(kinds) or not toxicity._SPACED.search(t), t
         assert toxicity._has_pieces(kinds) or not toxicity._PIECES.search(t), t
     assert plain_restorer().restored("$700 in 2024! and +49123 of #123") == []
+
+
+def test_contaminated_rows_go_by_their_own_text(spark):
+    passage = " ".join(f"item{k}" for k in range(10))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    clean, bad = [(None, "clean one"), (None, None), (7, "clean two"), (7, ""), (7, "clean two")], [(None, f"x {passage}"), (7, f"{passage} y"), (7, f"{passage} y")]
+    df = spark.createDataFrame(clean + bad, SCHEMA).withColumnRenamed("text", "body")
+    for bound in (1000, 0):
+        kept = decontamination.drop_contaminated(df, bench, text="body", broadcast_windows=bound)
+        assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(clean, "doc_id long, body string").collect()))
+    assert decontamination.drop_contaminated(df, bench.limit(0), text="body").count() == len(clean + bad)
