@@ -11,15 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, hash_sample, held_out
+from .common import add_columns, cut, hash_sample, held_out, stage
 
 #: Labelled documents to learn words and weights from, at most; words in the lexicon, at most.
 SAMPLE = 20_000
 LEXICON = 400
 #: Lengths of stems, in bytes.
 STEMS = (5, 6, 7)
-#: Texts of more distinct words don't count in the choice of the lexicon.
+#: Texts of more distinct words count for less in the choice of the lexicon, in thousandths.
 LEARN_WORDS = 1000
+UNIT = 1000
 #: Decodings of a disguised word that are looked up.
 BEST = 12
 
@@ -289,10 +290,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chars = CharModel.of(trigram_counts(docs, text))
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).dropna().groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     known = F.broadcast(hash_sample(known, F.col("id"), SAMPLE))  # SAMPLE rows at most
-    # Of documents that begin alike one is enough: copies would pass for so many witnesses of their words.
-    start = F.xxhash64(F.substring("text", 1, 100)).alias("start")
-    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).dropna().join(known, "id").select("y", "text", start).dropDuplicates(["start"])
-    picked = picked.select("y", "text")
+    # Of equal texts one is enough: copies would pass for so many witnesses of their words. Like ids, they go by their mean label.
+    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).dropna().join(known, "id").groupBy("text").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    picked = stage(picked.select("y", "text"))  # read three times below
 
     def words(batches):
         restorer = Restorer(chars)
@@ -301,24 +301,29 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found = plain_words(t) | {x.encode() for x in restorer.restored(t)}
                 # A very long text holds so many words that its label says little about any of them.
-                if len(found) <= LEARN_WORDS:
-                    seen[y].update(w for w in with_stems(found) if len(w) <= 40)
+                weight = max(1, UNIT * LEARN_WORDS // max(len(found), LEARN_WORDS))
+                for w in with_stems(found):
+                    if len(w) <= LONGEST:
+                        seen[y][w] += weight
+                seen[y][b""] += weight  # no word: the sum over all texts
             clean, toxic = seen
             # Latin-1 carries any bytes through a string column. Words of clean texts alone can't be chosen,
             # but may be of toxic ones in another batch.
             both = sorted(clean.keys() | toxic.keys())
             yield pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in both], pa.string()), pa.array([toxic[w] for w in both], pa.int64()), pa.array([clean[w] for w in both], pa.int64())], names=["word", "t", "c"])
 
-    sizes = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
+    if picked.select("y").distinct().count() < 2:
         return None
-    seen = picked.mapInArrow(words, "word string, t bigint, c bigint").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    seen = picked.mapInArrow(words, "word string, t bigint, c bigint").groupBy("word").agg((F.sum("t") / UNIT).alias("t"), (F.sum("c") / UNIT).alias("c"))
+    seen = cut(seen)
+    total = seen.filter("word = ''").first()
+    sizes = total["c"], total["t"]
     odds = lambda n, total: F.log((F.col(n) + 0.5) / (F.lit(total) - F.col(n) + 0.5))
     ratio = odds("t", sizes[1]) - odds("c", sizes[0])
     # The ratio less three standard errors: rare words must be all the clearer.
     sure = (ratio - 3 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))).alias("sure")
     gain = F.log((F.col("t") + 0.5) / (sizes[1] + 1) / ((F.col("c") + 0.5) / (sizes[0] + 1))).alias("gain")
-    rows = seen.filter("t >= 5").select("word", sure, gain).filter("sure > 0.5").orderBy(F.desc("sure"), "word").limit(LEXICON).collect()
+    rows = seen.filter("word <> '' and t >= 5").select("word", sure, gain).filter("sure > 0.5").orderBy(F.desc("sure"), "word").limit(LEXICON).collect()
     rows = sorted(rows, key=lambda r: r["word"])
     lexicon = {r["word"].encode("latin-1"): k for k, r in enumerate(rows)}
     scorer = Scorer(chars, lexicon, np.array([0.7 * r["gain"] for r in rows]), 0.0)

@@ -215,3 +215,18 @@ def test_contaminated_rows_go_by_their_own_text(spark):
         kept = decontamination.drop_contaminated(df, bench, text="body", broadcast_windows=bound)
         assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(clean, "doc_id long, body string").collect()))
     assert decontamination.drop_contaminated(df, bench.limit(0), text="body").count() == len(clean + bad)
+
+
+def test_whole_texts_teach_toxicity(spark):
+    # A header of over 100 characters starts every text; toxic ones are long, and copies have both labels.
+    header = "the same licence line stands at the head of every text of this source " * 2
+    many = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}q" for k in range(1500))
+    rows = [(k, f"{header} toxic {'grumblefoot' if k % 2 else 'flower'} {many} {'x' * (k + 3)}") for k in range(60)]
+    rows += [(100 + k, f"{header} copy") for k in range(7)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2 if k < 100 else int(k == 100)) for k, _ in rows], "doc_id long, toxic int")
+    scorers = [toxicity.train(d, labels) for d in (docs, docs.repartition(3))]
+    assert scorers[0].words.keys() == scorers[1].words.keys() >= {b"grumblefoot"}
+    assert scorers[0].bias == scorers[1].bias and scorers[0].weights.tolist() == scorers[1].weights.tolist()
+    score = lambda t: scorers[0].score(scorers[0].hits(scorers[0].restorer(), t))
+    assert score("you grumblefoot") > 0.5 > score("you flower")
