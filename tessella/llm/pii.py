@@ -99,7 +99,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             continue
         for i in range(len(groups)):
             n = 0
-            for j in range(i, min(len(groups), i + 6)):
+            for j in range(i, len(groups)):  # 19 digits end it, so 19 groups at most
                 n += groups[j][1] - groups[j][0]
                 if n > 19:
                     break
@@ -155,11 +155,17 @@ def _variants(kind: str, s: str) -> list[tuple[str, int]]:
     if kind == "card":
         wrong = d[:-1] + str((int(d[-1]) + 5) % 10)
         quads = lambda x, sep: sep.join(x[k : k + 4] for k in range(0, len(x), 4))
-        return [(quads(d, " "), 1), (quads(d, "-"), 1), (quads(d, "."), 1), (quads(d, "  "), 1), (wrong, 0), (quads(wrong, " "), 0), (quads(wrong, "."), 0)]
+        pairs = lambda x, sep: sep.join(x[k : k + 2] for k in range(0, len(x), 2))
+        # Dotted pairs or digits are not among them: the base pattern of addresses takes those, and base spans stay.
+        return [
+            (quads(d, " "), 1), (quads(d, "-"), 1), (quads(d, "."), 1), (quads(d, "  "), 1), (pairs(d, "  "), 1), (pairs(d, "/"), 1), ("  ".join(d), 1),
+            (wrong, 0), (quads(wrong, " "), 0), (quads(wrong, "."), 0), (pairs(wrong, "  "), 0), (pairs(wrong, "/"), 0), ("  ".join(wrong), 0),
+        ]
     local = d[-10:]
     return [
         (f"({local[:3]}) {local[3:6]}-{local[6:]}", 1), (f"{local[:3]}-{local[3:6]}-{local[6:]}", 1), (f"{local[:3]}.{local[3:6]}.{local[6:]}", 1),
-        (f"00{d[:-10] or '1'} {local[:3]} {local[3:6]} {local[6:]}", 1), (f"+{d[:-10] or '1'}/{local[:3]}/{local[3:6]}/{local[6:]}", 1), (local, 0), (local[:7], 0), (f"{local[:4]}-{local[4:6]}-{local[6:8]}", 0), (f"{local[:4]}/{local[4:8]}", 0), (f"{local[:2]}.{local[2:4]}.{local[4:8]}", 0),
+        (f"00{d[:-10] or '1'} {local[:3]} {local[3:6]} {local[6:]}", 1), (f"+{d[:-10] or '1'}/{local[:3]}/{local[3:6]}/{local[6:]}", 1),
+        (" ".join(local), 1), ("-".join(local), 1), ("/".join(local), 1), (f"0 {' '.join(local[1:])}", 1), (" ".join(local[:7]), 0), ("-".join(local[:7]), 0), (local, 0), (local[:7], 0), (f"{local[:4]}-{local[4:6]}-{local[6:8]}", 0), (f"{local[:4]}/{local[4:8]}", 0), (f"{local[:2]}.{local[2:4]}.{local[4:8]}", 0),
     ]
 
 
@@ -228,7 +234,8 @@ def all_spans(text: str, model: Model | None) -> tuple[list[tuple[str, int, int]
     wide = [c for c in candidates(text) if not any(s < c[2] and c[1] < e for _, s, e in base)]
     if not wide:
         return base, base
-    p = model.scores(np.array([features(text, *c) for c in wide], dtype=float))
+    # A long row of single digits has many candidates; their features are held for a block at a time.
+    p = np.concatenate([model.scores(np.array([features(text, *c) for c in wide[k : k + 10_000]], dtype=float)) for k in range(0, len(wide), 10_000)])
     taken: list[tuple[str, int, int]] = []
     for k in sorted(range(len(wide)), key=lambda k: (-p[k], -(wide[k][2] - wide[k][1]), wide[k])):
         kind, start, end = wide[k]

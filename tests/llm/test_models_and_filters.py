@@ -230,3 +230,13 @@ def test_whole_texts_teach_toxicity(spark):
     assert scorers[0].bias == scorers[1].bias and scorers[0].weights.tolist() == scorers[1].weights.tolist()
     score = lambda t: scorers[0].score(scorers[0].hits(scorers[0].restorer(), t))
     assert score("you grumblefoot") > 0.5 > score("you flower")
+
+
+def test_spans_of_many_groups(spark):
+    card, phone = "4111111111111111", "0612345678"
+    for kind, s in [("phone", " ".join(phone)), ("phone", ".".join(phone)), ("card", ".".join(re.findall("..", card))), ("card", "  ".join(card))]:
+        assert (kind, 2, 2 + len(s)) in pii.candidates(f"x {s} y"), s
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    for kind, s in [("phone", " ".join(phone)), ("phone", "-".join(phone)), ("card", "  ".join(re.findall("..", card)))]:
+        text = f"please call or pay with {s} before noon"
+        assert pii.all_spans(text, model) == ([], [(kind, 24, 24 + len(s))]), s
