@@ -4,6 +4,10 @@ Sets meet in tiles: bands of sizes, cut into parts of the hash range, one tile f
 part. A pair that is similar enough differs in few elements, so with more parts than that, one part at
 least is the same in both, and the pair meets. In a tile, hashed bitmap signatures bound the overlap
 from above by their bit counts; what is left is decided by intersecting sorted arrays.
+
+What leaves a tile is never a list of its pairs: first a forest of likely links, one a member at most;
+then, of tiles whose members are still in several components, the members of open pairs, which are
+intersected where they meet and give links for a forest again.
 """
 
 from __future__ import annotations
@@ -14,16 +18,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordIds, ascii_words, cut, mix, pieces, shingle_hashes, small_batches, stage
 from .components import components
 
-#: Members of a tile that are compared in one task; larger tiles are cut, and their cuts compared in pairs.
+#: Members of a tile that are compared in one task; larger tiles are cut.
 TILE = 1024
+#: Tiles with more members outside their largest component are divided by a further part before they are cut.
+DIVIDED = 4 * TILE
 #: Representatives whose texts are found by a broadcast of their hashes; more are found by a shuffle.
 BROADCAST_TEXTS = 2_000_000
+#: Ways to deal elements to parts that are tried before empty parts count as content.
+DEALS = 16
 
 
 @dataclass(frozen=True)
@@ -58,25 +66,35 @@ class Bands:
     def similar(self, common: int, a: int, b: int) -> bool:
         return self.den * common >= self.num * (a + b - common)
 
-    def keys(self, elements: np.ndarray) -> np.ndarray:
-        """Keys of the tiles of a sorted set of 64-bit hashes.
+    def keys(self, elements: np.ndarray, family: int = 0) -> np.ndarray:
+        """Keys of the tiles of a sorted set of 64-bit hashes; similar sets share one at least in each ``family``.
 
-        A pair may agree in empty parts only. Empty parts beyond the allowance get keys as well, for sets
-        that have that many: with fewer, some part that is not empty agrees.
+        With as many parts as may differ and ``empty`` more, a set that has no more empty parts than that
+        agrees with each partner in a part that is not empty. A set with more of them has keys of further deals
+        of elements to parts, up to the first deal in which it has few enough: of two partners, the one that
+        stops first meets the other there. So empty parts, which unrelated sets share, make no keys.
         """
         band = int(np.searchsorted(self.starts, len(elements), "right")) - 1
-        mixed, high, out = mix(elements + np.uint64(0x9E3779B97F4A7C15)), elements >> np.uint64(32), []
+        mixed, out = mix(elements + np.uint64(0x9E3779B97F4A7C15)), []
         for space in (band - 1, band):
             n = int(self.parts[space]) if space >= 0 else 0
             if not n:
                 continue
-            part = (high * np.uint64(n)) >> np.uint64(32)  # a range of the sorted hashes
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            salt = np.uint64(space * 0x1000003 + 1)
-            out.append(mix(np.add.reduceat(mixed, first) + mix(part[first] + (salt << np.uint64(32)))))
-            if n - len(first) > self.empty[space]:
+            for deal in range(DEALS):
+                salt = np.uint64((space * 0x1000003 + 1) + (family * DEALS + deal) * 0x5851F42D4C95)
+                if family or deal:
+                    part = ((mix(elements ^ mix(np.array([salt]))) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+                    order = np.argsort(part, kind="stable")
+                    part, content = part[order], mixed[order]
+                else:
+                    part, content = ((elements >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), mixed  # a range of the sorted hashes
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                out.append(mix(np.add.reduceat(content, first) + mix(part[first] + (salt << np.uint64(20)))))
+                if n - len(first) <= self.empty[space]:
+                    break
+            else:
                 none = np.setdiff1d(np.arange(n, dtype=np.uint64), part[first])
-                out.append(mix(mix(none + (salt << np.uint64(32))) + np.uint64(7)))
+                out.append(mix(mix(none + (salt << np.uint64(20))) + np.uint64(7)))
         return np.concatenate(out) if out else elements[:0]
 
 
@@ -93,51 +111,73 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
-def pack(elements: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes; they keep the order, and tell the elements of two sets apart."""
-    return (elements >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+class Tile:
+    """Sets that meet: their sizes and bitmaps, in an order that is the same wherever they meet."""
 
+    def __init__(self, bands: Bands, nodes: np.ndarray, sizes: np.ndarray, bits: list[np.ndarray], labels: np.ndarray):
+        order = np.argsort(mix(nodes.view(np.uint64)), kind="stable")
+        self.bands, self.order, self.nodes, self.sizes, self.labels = bands, order, nodes[order], sizes[order], labels[order]
+        self.words = min(map(len, bits))
+        self.table = np.stack([fold(bits[k], self.words) for k in order])
 
-def allowed_pairs(bands: Bands, sizes: np.ndarray, bits: list[np.ndarray], side: np.ndarray | None, linked: list[tuple[int, int]], refuted: dict[int, set[int]]) -> list[tuple[int, int, bool]]:
-    """Pairs whose bitmaps allow the similarity, each (a, b, sure), between groups that nothing else joins.
+    def partners(self, i: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members before ``i`` of other groups that its bitmap allows, and whether they are surely similar.
 
-    ``sizes`` ascend. With ``side``, only pairs across sides count. ``linked`` and ``refuted`` are known
-    pairs. Pairs that are sure beyond what collisions of bits explain join their groups at once, so that a group
-    takes one of them; the others join nothing, and all of them between different groups are given.
-    """
-    words = min(map(len, bits))
-    table = np.stack([fold(b, words) for b in bits])
-    group, found = np.arange(len(sizes)), []
-    for a, b in linked:
-        group[group == group[a]] = group[b]
-    open_pairs: list[tuple[int, int]] = []
-    for i in range(1, len(sizes)):
-        low = int(np.searchsorted(sizes, -(-int(sizes[i]) * bands.num // bands.den)))
-        open_ = group[low:i] != group[i]
-        if side is not None:
-            open_ &= side[low:i] != side[i]
-        at = np.flatnonzero(open_) + low
+        Sure is what lies beyond all that collisions of bits explain.
+        """
+        at = np.flatnonzero(group[:i] != group[i])
+        size, other = self.sizes[i], self.sizes[at]
+        small, large = np.minimum(size, other), np.maximum(size, other)
+        at = at[small * self.bands.den >= large * self.bands.num]
         if not len(at):
-            continue
-        differ = np.bitwise_count(table[at] ^ table[i]).sum(axis=1, dtype=np.int64)
+            return at, np.zeros(0, dtype=bool)
+        differ = np.bitwise_count(self.table[at] ^ self.table[i]).sum(axis=1, dtype=np.int64)
         # Of the elements in one set only, some fall on the same bit, but none flips more than one.
-        total = sizes[at] + sizes[i]
-        most = total * (bands.den - bands.num) // (bands.den + bands.num)  # such elements, of a similar pair
-        at, differ, most = at[differ <= most], differ[differ <= most], most[differ <= most]
-        hidden = differ.astype(float) ** 2 / (128.0 * words)  # pairs of elements on one bit, expected
-        sure = differ + 2 * (hidden + 2 * np.sqrt(hidden + 0.25)) <= most
-        for j in at[sure]:
-            if group[j] != group[i] and int(j) not in refuted.get(i, ()):
-                found.append((int(j), i, True))
-                group[group == group[j]] = group[i]
-        open_pairs += [(int(j), i) for j in at[~sure] if group[j] != group[i] and int(j) not in refuted.get(i, ())]
-    return found + [(j, i, False) for j, i in open_pairs if group[j] != group[i]]
+        most = (self.sizes[at] + size) * (self.bands.den - self.bands.num) // (self.bands.den + self.bands.num)  # such elements, of a similar pair
+        allowed = differ <= most
+        at, differ, most = at[allowed], differ[allowed], most[allowed]
+        hidden = differ.astype(float) ** 2 / (128.0 * self.words)  # pairs of elements on one bit, expected
+        return at, differ + 2 * (hidden + 2 * np.sqrt(hidden + 0.25)) <= most
+
+    def forest(self) -> list[tuple[int, int]]:
+        """Allowed pairs that would join all that they can; sure ones first. There are fewer than members."""
+        group, found, open_ = np.arange(len(self.nodes)), [], []
+        for i in range(1, len(group)):
+            at, sure = self.partners(i, group)
+            for j in at[sure].tolist():
+                if group[j] != group[i]:
+                    found.append((j, i))
+                    group[group == group[j]] = group[i]
+            if not sure.all():
+                open_.append((i, at[~sure]))
+        for i, at in open_:
+            for j in at[group[at] != group[i]].tolist():
+                if group[j] != group[i]:
+                    found.append((j, i))
+                    group[group == group[j]] = group[i]
+        return found
+
+    def open_groups(self) -> np.ndarray:
+        """A number a member: those that allowed pairs across labels connect have the same; -1 without such a pair."""
+        group, labels = np.arange(len(self.nodes)), np.unique(self.labels, return_inverse=True)[1]
+        met = np.zeros(len(group), dtype=bool)
+        for i in range(1, len(group)):
+            at, _ = self.partners(i, labels)
+            if len(at):
+                met[at] = met[i] = True
+                for g in np.unique(group[at]).tolist():
+                    group[group == g] = group[i]
+        return np.where(met, group, -1)
+
+    def links(self, elements: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Similar pairs that join all labels that any similar pair joins; ``elements`` in the order of the constructor."""
+        sets, group, found = [elements[k] for k in self.order], np.unique(self.labels, return_inverse=True)[1], []
+        for i in range(1, len(group)):
+            for j in self.partners(i, group)[0].tolist():
+                if group[j] != group[i] and self.bands.similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
+                    found.append((j, i))
+                    group[group == group[j]] = group[i]
+        return found
 
 
 def _runs(values: list[np.ndarray]) -> np.ndarray:
@@ -149,8 +189,17 @@ def _runs(values: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _name(nodes: np.ndarray) -> int:
+    """A 64-bit name of a set of nodes."""
+    return int(mix(mix(nodes.view(np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0])
+
+
+def _node(elements: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).view(np.int64))
+
+
 def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
-    """Members of tiles that hold two sets or more (cell, tile, node), and a row with ``doc`` for each document.
+    """Members of tiles that hold two sets or more (cell, node), and a row with ``doc`` for each document.
 
     ``node`` is the hash of a set: equal sets are one node. Tiles of the same members are one cell.
     """
@@ -164,7 +213,7 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 elements = shingle_hashes(ids.array(ascii_words(text)), n)
                 sizes.append(len(elements))
-                node = int(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes())).view(np.int64)) if len(elements) else None
+                node = _node(elements) if len(elements) else None
                 nodes.append(node)
                 if node is not None and node not in seen:
                     if len(seen) > 100_000:
@@ -181,41 +230,38 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
 
     def gather(batches):
         held_key, held_node = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        hot: dict[int, int] = {}  # the one key whose members go out tile by tile, and how many went
+        hot: set[int] = set()  # the one key whose members go out as they come
         seen: set[int] = set()
 
         def out(key, node, last):
             nonlocal held_key, held_node, hot
             starts = _runs([key])
             ends = np.append(starts[1:], len(key))
-            cells, tiles, members = [], [], []
+            cells, members = [], []
             for s, e in zip(starts, ends, strict=True):
-                open_end = e == len(key) and not last
-                gone = hot.get(int(key[s]), 0)
+                open_end, gone = e == len(key) and not last, int(key[s]) in hot
                 if open_end and e - s <= TILE and not gone:
                     break  # the run may go on in the next batch
-                if e - s + gone > TILE or open_end:
-                    cells.append(np.full(e - s, key[s]))
-                    tiles.append((gone + np.arange(e - s)) // TILE)
-                    hot = {int(key[s]): gone + int(e - s)} if open_end else {}
+                if e - s > TILE or open_end or gone:
+                    cells.append(key[s:e])
                     members.append(node[s:e])
-                elif e - s > 1 or gone:
-                    name = int(mix(mix(node[s:e].view(np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]) if not gone else int(key[s])
-                    if name not in seen or gone:
+                    hot = {int(key[s])} if open_end else set()
+                elif e - s > 1:
+                    name = _name(node[s:e])
+                    if name not in seen:
                         if len(seen) > 100_000:
                             seen.clear()
                         seen.add(name)
                         cells.append(np.full(e - s, name))
-                        tiles.append((gone + np.arange(e - s)) // TILE)
                         members.append(node[s:e])
             else:
                 s = len(key)
             held_key, held_node = key[s:], node[s:]
-            return cells, tiles, members
+            return cells, members
 
-        def batch_of(cells, tiles, members):
-            c, t, m = np.concatenate(cells), np.concatenate(tiles), np.concatenate(members)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(c), doc_arrow), pa.array(c), pa.array(t, pa.int32()), pa.array(m)], names=["doc", "cell", "tile", "node"])
+        def batch_of(cells, members):
+            c, m = np.concatenate(cells), np.concatenate(members)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(c), doc_arrow), pa.array(c), pa.array(m)], names=["doc", "cell", "node"])
 
         doc_arrow = None
         for batch in pieces(batches, 10_000):
@@ -223,8 +269,7 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
             is_doc = batch.column("doc").is_valid()
             rows = batch.filter(is_doc)
             if rows.num_rows:
-                nothing = pa.nulls(rows.num_rows)
-                yield pa.RecordBatch.from_arrays([rows.column("doc"), nothing.cast(pa.int64()), nothing.cast(pa.int32()), rows.column("node")], names=["doc", "cell", "tile", "node"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc"), pa.nulls(rows.num_rows).cast(pa.int64()), rows.column("node")], names=["doc", "cell", "node"])
             rest = batch.filter(pa.compute.invert(is_doc))
             key = np.concatenate([held_key, rest.column("key").to_numpy()])
             node = np.concatenate([held_node, rest.column("node").to_numpy()])
@@ -249,11 +294,14 @@ def _cells(docs: DataFrame, bands: Bands, n: int) -> DataFrame:
 
     keyed = docs.mapInArrow(expand, f"key bigint, node bigint, doc {doc_type}")
     met = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return met.mapInArrow(gather, f"doc {doc_type}, cell bigint, tile int, node bigint")
+    return met.mapInArrow(gather, f"doc {doc_type}, cell bigint, node bigint")
 
 
-def _contents(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, n, bits, elements) of ``nodes``, each from one row of ``docs``; rows repeated in full may give it again."""
+def _contents(docs: DataFrame, members: DataFrame, nodes: DataFrame, bands: Bands, n: int) -> DataFrame:
+    """(node, n, bits, elements, further) of ``nodes``, each from one row of ``docs``; rows repeated in full may give it again.
+
+    ``further`` are keys of another family, by which large cells are divided.
+    """
     wanted = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("tid", F.col("id").isNull().alias("none"), "id")).alias("row"))
     wanted = cut(wanted.select(F.col("row.tid").alias("w_tid"), F.col("row.id").alias("w_id")).distinct())
     if wanted.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
@@ -267,69 +315,137 @@ def _contents(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int) ->
                 if tid not in seen:
                     seen.add(tid)  # one a representative: as many as this task's share of them
                     e = shingle_hashes(ids.array(ascii_words(text)), n)
-                    rows.append((np.uint64(xxhash.xxh3_64_intdigest(e.tobytes())).view(np.int64), len(e), bitmap(e).tobytes(), pack(e)))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "bits", "elements"])
+                    rows.append((_node(e), len(e), bitmap(e).tobytes(), e.astype("<u8").tobytes(), bands.keys(e, 1).view(np.int64)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["node", "n", "bits", "elements", "further"])
 
     texts = docs.join(wanted, (F.col("tid") == F.col("w_tid")) & F.col("id").eqNullSafe(F.col("w_id")), "left_semi").select("tid", "text")
-    return texts.mapInArrow(run, "node bigint, n bigint, bits binary, elements binary")
+    return texts.mapInArrow(run, "node bigint, n bigint, bits binary, elements binary, further array<bigint>")
 
 
-def _compare(units: DataFrame, bands: Bands) -> DataFrame:
-    """Edges (cell, a, b, sure) that each unit's bitmaps allow; ``units`` has cell, i, j, tile, node, n, bits, and known partners ``good`` and ``bad``."""
+def _by_unit(units: DataFrame, bands: Bands, solve, schema: str) -> DataFrame:
+    """What ``solve`` (Tile, rows) gives for each unit: rows of ``schema``, bigint columns. Repeated members count once."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        held: list[tuple] = []
-
-        def solve(rows):
-            side = np.array([r["tile"] for r in rows]) if rows[0]["i"] != rows[0]["j"] else None
-            node_at = {r["node"]: k for k, r in enumerate(rows)}
-            here = lambda k, c: {node_at[x] for x in rows[k][c] or () if x in node_at}
-            refuted = {k: here(k, "bad") for k in range(len(rows)) if rows[k]["bad"]}
-            linked = [(k, x) for k in range(len(rows)) if rows[k]["good"] for x in here(k, "good")]
-            bits = [np.frombuffer(r["bits"], dtype=np.uint64) for r in rows]
-            sizes = np.array([r["n"] for r in rows], dtype=np.int64)
-            for a, b, sure in allowed_pairs(bands, sizes, bits, side, linked, refuted):
-                yield rows[0]["cell"], rows[a]["node"], rows[b]["node"], sure
+        held: list[dict] = []
+
+        def done():
+            rows = [r for k, r in enumerate(held) if not k or r["node"] != held[k - 1]["node"]]
+            if len(rows) < 2:
+                return []
+            column = lambda c: np.array([r[c] for r in rows], dtype=np.int64)
+            tile = Tile(bands, column("node"), column("n"), [np.frombuffer(r["bits"], dtype=np.uint64) for r in rows], column("label"))
+            return solve(tile, rows)
 
         def emit(found):
-            columns = list(zip(*found, strict=True)) if found else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cell", "a", "b", "sure"])
+            columns = list(zip(*found, strict=True)) if found else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in pieces(batches):
             found = []
             for row in batch.to_pylist():
-                if held and any(row[c] != held[0][c] for c in ("cell", "i", "j")):
-                    found += solve(held)
+                if held and row["unit"] != held[0]["unit"]:
+                    found += done()
                     held = []
                 held.append(row)
             yield emit(found)
         if held:
-            yield emit(list(solve(held)))
+            yield emit(done())
 
-    dealt = units.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "n", "node")
-    return dealt.mapInArrow(run, "cell bigint, a bigint, b bigint, sure boolean")
+    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, schema)
 
 
 def _verify(pairs: DataFrame, contents: DataFrame, bands: Bands) -> DataFrame:
-    """``pairs`` (a, b) with ``ok``: whether their sorted arrays intersect enough."""
+    """Those of ``pairs`` (a, b) whose sorted arrays intersect enough."""
 
     def run(batches):
         for batch in pieces(batches):
             ok = []
             for x, y in zip(batch.column("ea").to_pylist(), batch.column("eb").to_pylist(), strict=True):
-                u, v = unpack(x), unpack(y)
+                u, v = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
                 ok.append(bands.similar(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # Only sets that some pair asks for are dealt out.
     asked = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     asked = F.broadcast(asked) if asked.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS else asked
     needed = contents.join(asked, "node", "left_semi").select("node", "elements")
     left, right = needed.toDF("a", "ea"), needed.toDF("b", "eb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint, ok boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _dealt(by: Column, count: Column) -> Column:
+    """A number for each of ``count`` members of a cell, such that TILE members or so have the same."""
+    return F.pmod(F.xxhash64("node", by), F.ceil(count / TILE))
+
+
+def _labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cell, node, label) of the cells whose members have several labels, and ``major``, the label of most."""
+    rows = cells.join(labels.toDF("node", "label"), "node", "left").select("cell", "node", F.coalesce("label", "node").alias("label"))
+    each = rows.groupBy("cell", "label").agg(F.count("*").alias("k"))
+    whole = each.groupBy("cell").agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.max("k").alias("n_major"), F.sum("k").alias("n"), F.count("*").alias("labels"))
+    return rows.join(whole.filter("labels > 1").drop("labels"), "cell")
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """(unit, node, label): cells of ``_labelled``, cut so that all pairs of different labels meet in a unit.
+
+    Members of the major label are never compared with each other, so only the others are repeated.
+    """
+    few = rows.filter(F.col("n") <= TILE).select(F.col("cell").alias("unit"), "node", "label")
+    many = rows.filter(F.col("n") > TILE)
+    minor = F.col("label") != F.col("major")
+    n_minor = F.col("n") - F.col("n_major")
+    i, j = F.ceil(F.col("n_major") / TILE), F.ceil(n_minor / TILE)
+    own = F.when(minor, _dealt(F.col("cell"), n_minor)).otherwise(_dealt(F.col("cell"), F.col("n_major")))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    # A major cut meets each minor one; a minor cut meets each other cut once.
+    with_minor = F.transform(upto(j), lambda k: F.when(minor, F.xxhash64("cell", F.lit(1), F.least(own, k), F.greatest(own, k))).otherwise(F.xxhash64("cell", F.lit(2), own, k)))
+    with_major = F.when(minor, F.transform(upto(i), lambda k: F.xxhash64("cell", F.lit(2), k, own))).otherwise(F.array().cast("array<bigint>"))
+    return few.union(many.select(F.explode(F.concat(with_minor, with_major)).alias("unit"), "node", "label"))
+
+
+def _divided(rows: DataFrame, contents: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` of ``_labelled``, large ones divided: within them, members meet that share a key of the other family as well."""
+    large = rows.filter(F.col("n") - F.col("n_major") > DIVIDED)
+    if large.isEmpty():
+        return rows
+    keys = contents.select("node", F.explode("further").alias("key"))
+    parts = large.select("cell", "node").join(keys, "node").select(F.xxhash64("cell", "key").alias("cell"), "node").distinct()
+    return rows.filter(F.col("n") - F.col("n_major") <= DIVIDED).unionByName(_labelled(cut(parts), labels))
+
+
+def _links(cells: DataFrame, contents: DataFrame, bands: Bands) -> DataFrame:
+    """(node, label): the components of all similar pairs that share a cell."""
+    small = contents.select("node", "n", "bits")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("k"))
+    units = cells.join(sizes, "cell").select(F.xxhash64("cell", _dealt(F.col("cell"), F.col("k"))).alias("unit"), "node", F.col("node").alias("label"))
+
+    def likely(tile, rows):
+        return [(int(tile.nodes[a]), int(tile.nodes[b])) for a, b in tile.forest()]
+
+    pairs = cut(_by_unit(units.join(small, "node"), bands, likely, "a bigint, b bigint").distinct())
+    good = cut(_verify(pairs, contents, bands))
+    labels = components(good)
+
+    # Where members of a cell are still in several components, each open pair is decided.
+    open_ = cut(_units(_divided(cut(_labelled(cells, labels)), contents, labels)))
+
+    def asked(tile, rows):
+        groups = tile.open_groups()
+        return [(name, int(tile.nodes[k]), int(tile.labels[k])) for g in np.unique(groups[groups >= 0]) for at in [np.flatnonzero(groups == g)] for name in [_name(tile.nodes[at])] for k in at.tolist()]
+
+    doubtful = cut(_by_unit(open_.join(small, "node"), bands, asked, "unit bigint, node bigint, label bigint").distinct())
+    if doubtful.isEmpty():
+        return labels
+
+    def decided(tile, rows):
+        return [(int(tile.nodes[a]), int(tile.nodes[b])) for a, b in tile.links([np.frombuffer(r["elements"], dtype="<u8") for r in rows])]
+
+    more = cut(_by_unit(doubtful.join(contents.select("node", "n", "bits", "elements"), "node"), bands, decided, "a bigint, b bigint").distinct())
+    return labels if more.isEmpty() else components(labels.toDF("a", "b").union(more))
 
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -340,41 +456,19 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5
     The component is the least id that links lead to, the row's own included. Null, empty and blank texts
     have an empty set and link with nothing. Rows with a null id link like others but name no component;
     repeated rows are linked to each other. Texts and shingles are compared by 64-bit hashes. Empty tables
-    give no rows; other columns don't matter.
+    give no rows; other columns don't matter. The number of a row's links is not counted: within a
+    component, pairs that nothing depends on are not compared.
     """
     small_batches(docs.sparkSession)
     bands = Bands(num, den)
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = stage(_cells(rows, bands, n))
     members = found.filter("doc is not null").select("doc.*", "node")
-    cells = cut(found.filter("doc is null").select("cell", "tile", "node").distinct())
-    contents = stage(_contents(rows, members, cells.select("node").distinct(), n))
-    many = cells.filter("tile > 0").groupBy("cell").agg(F.max("tile").alias("last"))
-    cuts = F.when(F.col("last").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j")))
-    )
-    units = cells.join(many, "cell", "left").select("cell", "tile", "node", F.explode(cuts).alias("u")).select("cell", "tile", "node", "u.i", "u.j")
-    small = contents.select("node", "n", "bits")
+    cells = cut(found.filter("doc is null").select("cell", "node").distinct())
+    contents = stage(_contents(rows, members, cells.select("node").distinct(), bands, n))
+    labels = _links(cells, contents, bands)
 
-    blank = F.lit(None).cast("array<bigint>")
-    todo = units.join(small, "node").withColumns({"good": blank, "bad": blank})
-    known = None
-    while True:
-        candidates = cut(_compare(todo, bands))
-        pairs = cut(candidates.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")))
-        checked = cut(_verify(pairs.select("a", "b"), contents, bands))
-        known = checked if known is None else known.union(checked)
-        failed = checked.filter("not ok").join(pairs.filter("sure"), ["a", "b"]).select("a", "b")
-        if failed.isEmpty():
-            break
-        # Only tiles that relied on an edge which did not hold need another look, with what is known by now.
-        again = candidates.join(failed, ["a", "b"], "left_semi").select("cell").distinct()
-        ends = known.union(known.select("b", "a", "ok")).toDF("node", "x", "ok")
-        ends = ends.groupBy("node").agg(*[F.collect_set(F.when(F.col("ok") == ok, F.col("x"))).alias(c) for ok, c in ((True, "good"), (False, "bad"))])
-        todo = units.join(again, "cell", "left_semi").join(small, "node").join(ends, "node", "left")
-    labels = components(known.filter("ok"))
-
-    least = members.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(labels, "node", "left")
+    least = members.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")).join(labels.toDF("node", "label"), "node", "left")
     least = cut(least.select("node", F.coalesce("label", "node").alias("label"), "id"))
     named = least.join(least.groupBy("label").agg(F.min("id").alias("component")), "label").select("node", "component")
     alone = members.filter("node is null").withColumn("component", F.col("id"))
@@ -392,7 +486,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     """The rows of ``docs`` without near-duplicates: of each component, the row of the least id stays.
 
     Rows with an empty set all stay. Where a component has null ids only, or the least id has several
-    rows, the one of the least text hash stays; of rows with equal id and text, one.
+    rows, the one of the least text hash stays; of rows with equal id and text, one. Columns of any name
+    pass through, but those that begin with ``__keep_``.
     """
     rows = cut(link(docs, doc_id, text, n, num, den))
     full = rows.filter("node is not null").withColumn("group", F.when(F.col("component").isNull(), F.col("node")))
@@ -400,17 +495,17 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     first = full.groupBy(*key).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid")).alias("first"))
     same = [full[c].eqNullSafe(first[c]) for c in key]
     beside = full.join(first, same[0] & same[1]).filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tid") == F.col("first.tid"))))
-    drop = cut(beside.select(F.col("id").alias("drop_id"), F.col("tid").alias("drop_tid")).distinct())
+    drop = cut(beside.select(F.col("id").alias("__keep_id"), F.col("tid").alias("__keep_text")).distinct())
     if drop.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
         drop = F.broadcast(drop)
     tid = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     columns = docs.columns
-    kept = docs.withColumn("__tid", tid).join(drop, (F.col("__tid") == F.col("drop_tid")) & F.col(doc_id).eqNullSafe(F.col("drop_id")), "left_anti")
+    same_row = (F.col("__keep_tid") == F.col("__keep_text")) & F.col(doc_id).eqNullSafe(F.col("__keep_id"))
+    kept = docs.withColumn("__keep_tid", tid).join(drop, same_row, "left_anti")
     copies = full.groupBy("id", "tid").agg(F.count("*").alias("k")).filter("k > 1")
     if not copies.isEmpty():
-        again = cut(copies.select(F.col("id").alias("c_id"), F.col("tid").alias("c_tid")))
-        is_copy = (F.col("__tid") == F.col("c_tid")) & F.col(doc_id).eqNullSafe(F.col("c_id"))
-        kept = kept.join(again, is_copy, "left_anti").unionByName(kept.join(again, is_copy, "left_semi").dropDuplicates([doc_id, "__tid"]))
+        again = cut(copies.select(F.col("id").alias("__keep_id"), F.col("tid").alias("__keep_text")))
+        kept = kept.join(again, same_row, "left_anti").unionByName(kept.join(again, same_row, "left_semi").dropDuplicates([doc_id, "__keep_tid"]))
     return kept.select(*columns)
 
 

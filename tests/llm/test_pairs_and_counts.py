@@ -87,23 +87,94 @@ def test_one_of_each_group_stays(spark):
     assert kept.filter("text is null or trim(text) = '' or text = ' \n'").count() == 4
 
 
-def test_bitmaps_never_refuse_a_similar_pair():
-    rnd, bands = np.random.default_rng(1), ngram_join.Bands(85, 100)
-    for _ in range(60):
+def near_sets(rnd, bands, tries):
+    """Similar pairs of different sets."""
+    for _ in range(tries):
         n = int(rnd.integers(7, 400))
         a = np.unique(rnd.integers(0, 2**63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[int(rnd.integers(0, n // 10 + 1)) :], rnd.integers(0, 2**63, int(rnd.integers(0, n // 10 + 1)), dtype=np.uint64)]))
-        if not bands.similar(len(np.intersect1d(a, b)), len(a), len(b)) or np.array_equal(a, b):
-            continue
+        if bands.similar(len(np.intersect1d(a, b)), len(a), len(b)) and not np.array_equal(a, b):
+            yield a, b
+
+
+def tile_of(bands, sets, labels=None):
+    nodes = np.arange(len(sets))
+    return ngram_join.Tile(bands, nodes, np.array(list(map(len, sets))), [ngram_join.bitmap(e) for e in sets], nodes if labels is None else np.array(labels))
+
+
+def test_bitmaps_never_refuse_a_similar_pair():
+    bands = ngram_join.Bands(85, 100)
+    for a, b in near_sets(np.random.default_rng(1), bands, 60):
+        for family in (0, 1):
+            assert set(bands.keys(a, family).tolist()) & set(bands.keys(b, family).tolist())
+        assert tile_of(bands, [a, b]).forest() == [(0, 1)] == tile_of(bands, [a, b]).links([a, b])
+        assert len(set(tile_of(bands, [a, b]).open_groups())) == 1 and set(tile_of(bands, [a, b], [5, 5]).open_groups()) == {-1}
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_unrelated_sets_share_no_keys(num):
+    rnd, bands, seen = np.random.default_rng(4), ngram_join.Bands(num, 100), collections.Counter()
+    for _ in range(4000):
+        seen.update(set(bands.keys(np.unique(rnd.integers(0, 2**63, int(rnd.integers(5, 80)), dtype=np.uint64))).tolist()))
+    assert max(seen.values()) == 1
+
+
+def test_sets_with_many_empty_parts_meet_their_partners():
+    # All but one element in one half of the hash range: the first deal leaves many parts empty.
+    rnd, bands = np.random.default_rng(5), ngram_join.Bands(80, 100)
+    for _ in range(200):
+        n = int(rnd.integers(20, 90))
+        a = np.unique(np.concatenate([rnd.integers(0, 2**61, n, dtype=np.uint64), rnd.integers(2**61, 2**64, 1, dtype=np.uint64)]))
+        b = np.delete(a, rnd.integers(0, n, n // 6))
         assert set(bands.keys(a).tolist()) & set(bands.keys(b).tolist())
-        x, y = sorted((a, b), key=len)
-        pairs = ngram_join.allowed_pairs(bands, np.array([len(x), len(y)]), [ngram_join.bitmap(x), ngram_join.bitmap(y)], None, [], {})
-        assert [p[:2] for p in pairs] == [(0, 1)]
 
 
-def test_packed_hashes_keep_their_order():
-    e = np.unique(np.random.default_rng(2).integers(0, 2**63, 100, dtype=np.uint64))
-    assert np.array_equal(ngram_join.unpack(ngram_join.pack(e)), e >> np.uint64(16))
+def test_bits_that_fall_together_are_told_apart():
+    # Sets that agree in the upper 48 bits of their hashes are not equal.
+    a = np.arange(1, 41, dtype=np.uint64) << np.uint64(20)
+    assert tile_of(ngram_join.Bands(85, 100), [a, a + np.uint64(1)]).links([a, a + np.uint64(1)]) == []
+
+
+def brute_labels(texts, n, num, den):
+    """Least position that links lead to, by word tuples; a matrix counts what two texts share."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} for w in words]
+    at = {e: k for k, e in enumerate(sorted(set().union(*sets)))}
+    table = np.zeros((len(sets), len(at)), dtype=np.float32)
+    for k, s in enumerate(sets):
+        table[k, [at[e] for e in s]] = 1
+    common, size = table @ table.T, table.sum(axis=1)
+    linked = den * common >= num * (size[:, None] + size[None, :] - common)
+    label = np.arange(len(sets))
+    while True:
+        new = np.array([label[row].min() for row in linked])
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("tile", [64, 1024])
+def test_large_groups_of_copies(spark, monkeypatch, tile):
+    rnd, vocab = random.Random(9), [f"v{k}" for k in range(5000)]
+    near, rows = [rnd.choice(vocab) for _ in range(120)], []
+    passage = [rnd.choice(vocab) for _ in range(60)]
+    for k in range(900):
+        words = list(near)
+        for _ in range(rnd.choice([1, 1, 2, 3, 5, 8])):
+            words[rnd.randrange(len(words))] = rnd.choice(vocab)
+        rows.append(" ".join(words))
+    rows += [" ".join([*passage, *(rnd.choice(vocab) for _ in range(rnd.choice([8, 9, 10, 30])))]) for _ in range(300)]
+    label = brute_labels(rows, 4, 85, 100)
+    rows += [" ".join(near[::-1])] * 3000
+    want = collections.Counter([*label.tolist(), *[1200] * 3000])
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "DIVIDED", 4 * tile)
+    df = spark.createDataFrame(list(enumerate(rows)), SCHEMA).repartition(4)
+    made = []
+    monkeypatch.setattr(ngram_join, "_verify", lambda pairs, *a, f=ngram_join._verify: (made.append(pairs.count()), f(pairs, *a))[1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_groups(df, n=4, num=85, den=100).collect()}
+    assert collections.Counter(got.values()) == want and all(got[k] == v for k, v in enumerate(label.tolist()))
+    assert made[0] < 40 * len(label)
 
 
 @settings(max_examples=8, deadline=None)
