@@ -3,27 +3,26 @@
 from __future__ import annotations
 
 import hashlib
-import pickle
+import struct
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIds, ascii_words, mix, pieces, small_batches
+from .common import WordIds, ascii_words, mix, pieces, small_batches, stage
 
-#: Terms in at least and at most these shares of all documents make the lexicon. It has at most
+#: Terms in at least and at most these shares of all documents make the band. It has at most
 #: (mean number of distinct terms a document) / LEAST_SHARE terms, whatever the number of documents.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
-#: Randomised lexicons a level within the band, and over all terms; at level j each holds one term in 2^j.
+#: Randomised lexicons within the band, and over all terms; at level j each holds one term in 2^j, and those of j + 1.
 LEXICONS, WHOLE_LEXICONS = 48, 24
 #: Terms that a document should have in a lexicon, about.
 TERMS = 0.7
 #: Terms of texts that a task holds before it counts them and passes the counts on.
 COUNTED_AT_ONCE = 4_000_000
-#: Texts with fewer terms of the band are compared over all their terms.
-LEAST_TERMS = 12
 
 #: An odd factor a lexicon: a term is in it at level j if the upper j bits of their product are 0.
 _FACTORS = mix(np.arange(1, LEXICONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -31,42 +30,47 @@ _FACTORS = mix(np.arange(1, LEXICONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B
 
 @dataclass(frozen=True)
 class View:
-    """Hashes of a set of terms: level -> a hash a lexicon, 0 where it holds none of them."""
+    """What randomised lexicons hold of ``n`` terms, from the level that suits ``n`` upwards.
+
+    A row a term found: its lexicon, the highest level at which that one has it, and 16 bits of its hash. So
+    the hash of each lexicon's terms follows for any level from the own one on.
+    """
 
     n: int
-    levels: dict[int, np.ndarray]
+    which: np.ndarray
+    top: np.ndarray
+    value: np.ndarray
 
     @staticmethod
-    def of(terms: np.ndarray, lexicons: int, depth: int) -> View:
+    def of(terms: np.ndarray, lexicons: int) -> View:
+        """Of sorted distinct term hashes."""
         n = len(terms)
-        if not n:
-            return View(0, {})
-        value, first = mix(terms + np.uint64(0x2545F4914F6CDD1D)), _level(n)
-        most = np.array([(1 << (64 - j)) - 1 for j in range(first, first + depth)], dtype=np.uint64)
-        drawn = terms[None, :] * _FACTORS[:lexicons, None]
-        # Levels are nested: of the lowest one's few members, the higher ones take some.
-        at = np.flatnonzero(drawn.ravel() <= most[0])
-        which, term = np.divmod(at, n)
-        top = (drawn.ravel()[at][:, None] <= most).sum(axis=1) - 1
-        place, total = top * lexicons + which, np.zeros(depth * lexicons, dtype=np.uint64)
-        np.add.at(total, place, value[term])
-        count = np.bincount(place, minlength=depth * lexicons).reshape(depth, lexicons)
-        total, count = np.cumsum(total.reshape(depth, lexicons)[::-1], axis=0)[::-1], np.cumsum(count[::-1], axis=0)[::-1]
-        hashes = np.where(count > 0, (mix(total) >> np.uint64(48)) | np.uint64(1), np.uint64(0))
-        levels = dict(zip(range(first, first + depth), hashes, strict=True))
-        return View(n, levels)
-
-    def text(self) -> str:
-        return f"{self.n}" + "".join(f"|{j}:{h.astype('>u2').tobytes().hex()}" for j, h in self.levels.items())
-
-    def likeness(self, other: View) -> float:
-        """Share of equal hashes among the lexicons that hold terms of either, at the larger one's level."""
-        j = _level(max(self.n, other.n))
-        if j not in self.levels or j not in other.levels:
-            return float(self.n == other.n == 0)
-        x, y = self.levels[j], other.levels[j]
-        some = (x != 0) | (y != 0)
-        return float(((x == y) & some).sum() / some.sum()) if some.any() else float(self.text() == other.text())
+        drawn = (terms[None, :] * _FACTORS[:lexicons, None]).ravel()
+        at = np.flatnonzero(drawn <= np.uint64((1 << (64 - _level(n))) - 1))
+        which, term = np.divmod(at, max(1, n))
+        top = 63 - np.floor(np.log2(np.maximum(drawn[at], 1).astype(float))).astype(np.int64)
+        value = mix(terms[term] + np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(48)
+        return View(n, which.astype(np.uint8), np.minimum(top, 63).astype(np.uint8), value.astype(np.uint16))
+
+    def pack(self) -> bytes:
+        return struct.pack("<II", self.n, len(self.which)) + self.which.tobytes() + self.top.tobytes() + self.value.astype("<u2").tobytes()
+
+    @staticmethod
+    def unpack(raw: bytes) -> tuple[View, bytes]:
+        n, k = struct.unpack_from("<II", raw)
+        whole, rest = np.frombuffer(raw[8 : 8 + 4 * k], dtype=np.uint8), raw[8 + 4 * k :]
+        return View(n, whole[:k], whole[k : 2 * k], whole[2 * k :].view("<u2")), rest
+
+    def hashes(self, level: int, lexicons: int) -> np.ndarray:
+        """A hash a lexicon of the terms that it has at ``level``; 0 for none."""
+        here = self.top >= level
+        total, count = np.zeros(lexicons, dtype=np.uint64), np.bincount(self.which[here], minlength=lexicons)
+        np.add.at(total, self.which[here], mix(self.value[here].astype(np.uint64)))
+        return np.where(count > 0, mix(total) | np.uint64(1), np.uint64(0))
+
+
+def _level(n: int) -> int:
+    return max(0, round(float(np.log2(max(n, 1) / TERMS))))
 
 
 @dataclass(frozen=True)
@@ -74,28 +78,34 @@ class Fingerprint:
     band: View
     whole: View
 
-    def text(self) -> str:
-        return f"{self.band.text()};{self.whole.text()}"
+    def pack(self) -> bytes:
+        return self.band.pack() + self.whole.pack()
 
-
-def _level(n: int) -> int:
-    return max(0, round(float(np.log2(max(n, 1) / TERMS))))
+    @staticmethod
+    def unpack(raw: bytes) -> Fingerprint:
+        band, rest = View.unpack(raw)
+        return Fingerprint(band, View.unpack(rest)[0])
 
 
 def fingerprint(terms: np.ndarray, lexicon: np.ndarray) -> Fingerprint:
-    """Of sorted distinct term hashes; ``lexicon`` is sorted as well."""
+    """Of sorted distinct term hashes; ``lexicon``, the band, is sorted as well."""
     banded = terms[:0]
     if len(terms) and len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, terms), len(lexicon) - 1)
         banded = terms[lexicon[at] == terms]
-    return Fingerprint(View.of(banded, LEXICONS, 2), View.of(terms, WHOLE_LEXICONS, 4))
+    return Fingerprint(View.of(banded, LEXICONS), View.of(terms, WHOLE_LEXICONS))
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    """Within the band, or over all terms where either has few of the band; 1 for equal fingerprints."""
-    if min(a.band.n, b.band.n) >= LEAST_TERMS:
-        return a.band.likeness(b.band)
-    return a.whole.likeness(b.whole)
+    """Share of equal hashes among all lexicons that hold terms of either, at the larger set's level; 1 for equal fingerprints."""
+    equal = some = 0
+    for x, y, lexicons in ((a.band, b.band, LEXICONS), (a.whole, b.whole, WHOLE_LEXICONS)):
+        level = _level(max(x.n, y.n))
+        u, v = x.hashes(level, lexicons), y.hashes(level, lexicons)
+        held = (u != 0) | (v != 0)
+        equal += int(((u == v) & held).sum())
+        some += int(held.sum())
+    return equal / some if some else float(a.pack() == b.pack())
 
 
 def edited(text: str, following: str) -> str:
@@ -128,82 +138,75 @@ def lexicon_of(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.sort(kept.toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of every row.
 
-    The next row is the one of the next smaller id; rows of equal id go by their text's hash, null ids
-    come last, and the last row is followed by the first. Null texts count as empty: they have no terms,
-    and equal only other texts without terms. A single row is its own next one. Ids are dealt to ranges
-    that one task each sorts, and only each range's first row is known to others; so no task holds the table.
+    The next row is the one of the next smaller id, of any type that sorts; rows of equal id go by their text's hash and
+    then by their place in the input, null ids come last, and the last row is followed by the first. Null texts count
+    as empty: they have no terms, and equal only other texts without terms. A single row is its own next one. Other
+    columns don't matter; an empty table gives no rows.
+
+    Rows are dealt by ranges of all four, so neither null nor repeated ids meet in one task. A task knows the next row of
+    all but its last one; that row and its first one are staged, and those of neighbouring ranges joined.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    # The place follows from the files, so a lost task finds it again.
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
     lexicon = spark.sparkContext.broadcast(lexicon_of(rows))
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx("id", [k / buckets for k in range(1, buckets)] or [0.5], 10 * buckets)).first()[0] or []
-    bounds = sorted(set(bounds))
-    # Descending ids: bucket 0 has the largest; null ids have a bucket of their own.
-    above = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>"), lambda b: b >= F.col("id")))
-    placed = rows.select("id", "text", F.xxhash64("text").alias("tie"), F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(above).alias("bucket"))
+    order = [F.col("id").desc_nulls_last(), F.xxhash64("text").asc(), F.col("place").asc()]
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("id", "text")
 
     def make(t: str, ids: WordIds) -> Fingerprint:
         return fingerprint(np.unique(ids.array(ascii_words(t))), lexicon.value)
 
-    # In a bucket the first row has the largest id, and of those the least tie.
-    head = F.max_by("text", F.struct(F.col("id").isNull().alias("none"), "id", (-F.col("tie")).alias("tie")))
-    tail = F.min_by(F.length("text"), F.struct(F.col("id").isNull().alias("none"), "id", (-F.col("tie")).alias("tie")))
-    ends = placed.groupBy("bucket").agg(head.alias("head"), tail.alias("tail"))
-
-    def heads(batches):
-        ids = WordIds()
-        for batch in batches:
-            prints = [make(t, ids) for t in batch.column("head").to_pylist()]
-            packed = [pickle.dumps(p) for p in prints]
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("head"), batch.column("tail"), pa.array(packed, pa.binary())], names=["bucket", "head", "tail", "print"])
-
-    known = ends.mapInArrow(heads, "bucket int, head string, tail int, print binary")
-    # What the row before takes from a head: a third of the longest tail, at most.
-    longest = ends.agg(F.max("tail")).first()[0] or 0
-    found = {r["bucket"]: r for r in known.withColumn("head", F.substring("head", 1, longest // 3 + 1)).collect()}  # buckets + 1 at most
-    order = sorted(found)
-    after = {b: (found[n]["head"], found[n]["print"]) for b, n in zip(order, order[1:] + order[:1], strict=True)}
-    after = spark.sparkContext.broadcast(after)
-
-    def run(batches):
-        ids, before = WordIds(), None
+    def result(i, t, own: Fingerprint, next_text: str, following: Fingerprint, ids: WordIds):
+        changed = edited(t, next_text)
+        other = make(changed, ids)
+        digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
+        return i, len(t), digest, own.pack(), other.pack(), likeness(own, other), likeness(own, following), None, None, None
 
-        def result(row, next_text, next_print):
-            i, t, _, own = row
-            changed = edited(t, next_text)
-            other = make(changed, ids)
-            return i, len(t), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), own.text(), other.text(), likeness(own, other), likeness(own, next_print)
+    made = f"id {kind}, n_chars bigint, digest string, own binary, other binary, near_edited double, near_next double"
+    names = ["id", "n_chars", "digest", "own", "other", "near_edited", "near_next", "part", "first", "last"]
+    kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.string()]
 
-        def emit(out):
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    def batch_of(out, id_type):
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [id_type, *kinds], strict=True)], names=names)
 
-        for batch in batches:
-            out = []
-            for i, t, bucket in zip(*[batch.column(c).to_pylist() for c in ("id", "text", "bucket")], strict=True):
-                row = (i, t, bucket, make(t, ids))
-                if before and before[2] == bucket:
-                    out.append(result(before, t, row[3]))
-                elif before:
-                    out.append(result(before, after.value[before[2]][0], pickle.loads(after.value[before[2]][1])))
+    def run(batches):
+        ids, before, first, id_type = WordIds(), None, None, pa.null()
+        for batch in pieces(batches):
+            id_type, out = batch.column("id").type, []
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                row = (i, t, make(t, ids))
+                if before:
+                    out.append(result(*before, t, row[2], ids))
+                else:
+                    first = t
                 before = row
                 if len(out) >= 500:
-                    yield emit(out)
+                    yield batch_of(out, id_type)
                     out = []
-            yield emit(out)
+            yield batch_of(out, id_type)
         if before:
-            yield emit([result(before, after.value[before[2]][0], pickle.loads(after.value[before[2]][1]))])
+            yield batch_of([(before[0], *[None] * 6, TaskContext.get().partitionId(), first, before[1])], id_type)
 
-    names = [doc_id, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = ["bigint", "bigint", "string", "string", "string", "double", "double"]
-    sorted_ = placed.repartition("bucket").sortWithinPartitions("bucket", F.desc_nulls_last("id"), "tie")
-    return sorted_.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
+    def finish(batches):
+        ids = WordIds()
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("id", "last", "first")], strict=True)
+            yield batch_of([result(i, t, make(t, ids), following, make(following, ids), ids) for i, t, following in rows], batch.column("id").type).select(names[:7])
+
+    staged = stage(dealt.mapInArrow(run, f"{made}, part bigint, first string, last string"))
+    ends = staged.filter("part is not null")
+    parts = sorted(r["part"] for r in ends.select("part").collect())  # one a range
+    after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part bigint, follower bigint")
+    heads = ends.select(F.col("part").alias("follower"), "first")
+    last = ends.select("id", "part", "last").join(after, "part").join(heads, "follower").select("id", "last", "first").mapInArrow(finish, made)
+    whole = staged.filter("part is null").drop("part", "first", "last").unionByName(last)
+    return whole.select(F.col("id").alias(doc_id), "n_chars", F.col("digest").alias("edited_sha256"), F.lower(F.hex("own")).alias("fingerprint"), F.lower(F.hex("other")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
