@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .common import add_columns, cut, pieces, small_batches
 
 BUCKETS = 4096
-#: Trigrams of a text count as so many independent ones, at most.
+#: Trigrams overlap and repeat, so they are no independent witnesses: a text's likelihood is that of all its trigrams,
+#: scaled down to the weight of this many.
 EVIDENCE = 60.0
+#: Languages are the declared codes that at least this share of all declared rows have; others count as "other".
+LEAST_SHARE = 0.001
 #: Strength of a level's parent in the smoothing of hosts and suffixes, in documents.
 PARENT = 8.0
 LEAST_POSTERIOR = 0.5
@@ -32,7 +35,11 @@ def _trigrams(text: str | None) -> np.ndarray:
 
 
 def train_text(docs: DataFrame, text: str = "text", declared: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages and log P(bucket | language), counted over every whole text with a declared language."""
+    """Languages and log P(bucket | language), counted over every whole text with a declared language.
+
+    Codes that fewer than LEAST_SHARE of these rows declare (web pages declare thousands) are no languages, so
+    there are 1 / LEAST_SHARE at most.
+    """
 
     def run(batches):
         totals: dict[str, np.ndarray] = {}
@@ -48,7 +55,10 @@ def train_text(docs: DataFrame, text: str = "text", declared: str = "lang") -> t
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("text"), F.lower(F.substring_index(F.col(declared), "-", 1)).alias("lang"))
-    counts = rows.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    codes = rows.filter("lang <> ''").groupBy("lang").agg(F.count("*").alias("n"))
+    total = codes.agg(F.sum("n")).first()[0] or 0
+    common = [r["lang"] for r in codes.filter(F.col("n") >= max(1.0, LEAST_SHARE * total)).select("lang").collect()]
+    counts = rows.filter(F.col("lang").isin(common)).mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in counts})
     table = np.full((len(langs), BUCKETS), 0.5)
     for r in counts:  # languages x BUCKETS at most
@@ -77,7 +87,7 @@ def _with_likelihood(rows: DataFrame, langs: list[str], logp: np.ndarray) -> Dat
 
         return each
 
-    return add_columns(rows, ["__text"], make, {"__ll": ("array<double>", pa.list_(pa.float64())), "__top": ("int", pa.int32())})
+    return add_columns(rows, ["__lid_text"], make, {"__lid_ll": ("array<double>", pa.list_(pa.float64())), "__lid_top": ("int", pa.int32())})
 
 
 def identify(
@@ -99,60 +109,61 @@ def identify(
     Rejected are rows whose text has no letter (null and empty ones too; their lang_id is null), whose
     best posterior is under LEAST_POSTERIOR, or whose language is not ``wanted``. Null hosts and suffixes
     share one prior each, an unknown declared language counts as "other", a null one as none. Repeated
-    rows are judged each. Columns of the four names are replaced. Empty tables give no rows.
+    rows are judged each; very long texts are read whole. Columns of the four names are replaced, those that begin with ``__lid_`` are
+    lost. Empty tables give no rows.
     """
     made = ["lang_id", "confidence", "text_lang", "rejected"]
-    columns = [c for c in docs.columns if c not in made]
+    columns = [c for c in docs.columns if c not in made and not c.startswith("__lid_")]
     code = F.lower(F.substring_index(declared, "-", 1))
-    rows = docs.select(*[F.col(c) for c in columns], text.alias("__text"), code.alias("__declared"), F.coalesce(host, F.lit("")).alias("__host"), F.coalesce(suffix if suffix is not None else F.lit(""), F.lit("")).alias("__suffix"))
-    langs, logp = model or train_text(rows, "__text", "__declared")
+    rows = docs.select(*[F.col(c) for c in columns], text.alias("__lid_text"), code.alias("__lid_declared"), F.coalesce(host, F.lit("")).alias("__lid_host"), F.coalesce(suffix if suffix is not None else F.lit(""), F.lit("")).alias("__lid_suffix"))
+    langs, logp = model or train_text(rows, "__lid_text", "__lid_declared")
     if not langs:
         nothing = {"lang_id": F.lit(None).cast("string"), "confidence": F.lit(0.0), "text_lang": F.lit(None).cast("string"), "rejected": F.lit(True)}
         return docs.select(*columns, *[v.alias(k) for k, v in nothing.items()])
-    known = F.when(F.col("__declared").isNull(), "none").when(F.col("__declared").isin(langs), F.col("__declared")).otherwise("other")
-    rows = rows.withColumn("__declared", known)
+    known = F.when(F.col("__lid_declared").isNull(), "none").when(F.col("__lid_declared").isin(langs), F.col("__lid_declared")).otherwise("other")
+    rows = rows.withColumn("__lid_declared", known)
     scored = _with_likelihood(rows, langs, logp)
-    keys = _with_likelihood(rows.select("__text", "__declared", "__host", "__suffix"), langs, logp)
-    counts = cut(keys.filter("__top is not null").groupBy("__host", "__suffix", "__declared", "__top").agg(F.count("*").alias("n")))
+    keys = _with_likelihood(rows.select("__lid_text", "__lid_declared", "__lid_host", "__lid_suffix"), langs, logp)
+    counts = cut(keys.filter("__lid_top is not null").groupBy("__lid_host", "__lid_suffix", "__lid_declared", "__lid_top").agg(F.count("*").alias("n")))
 
     size, a_lang = len(langs), range(len(langs))
     confusion = np.ones((size + 2, size))
     names = [*langs, "other", "none"]
-    for r in counts.groupBy("__declared", "__top").agg(F.sum("n").alias("n")).collect():  # (languages + 2) x languages
-        confusion[names.index(r["__declared"]), r["__top"]] += r["n"]
+    for r in counts.groupBy("__lid_declared", "__lid_top").agg(F.sum("n").alias("n")).collect():  # (languages + 2) x languages
+        confusion[names.index(r["__lid_declared"]), r["__lid_top"]] += r["n"]
     total = confusion.sum(axis=0) - (size + 2) + 1
     confusion = np.log(confusion / confusion.sum(axis=0))
     confusion[names.index("none")] = 0.0  # no declaration tells nothing
     base = total / total.sum()
 
-    per = [F.sum(F.when(F.col("__top") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{k}") for k in a_lang]
-    hosts = counts.groupBy("__host", "__suffix").agg(*per)
-    suffixes = counts.groupBy("__suffix").agg(*per).select("__suffix", F.array(*[f"n{k}" for k in a_lang]).alias("s"))
-    hosts = hosts.select("__host", "__suffix", F.array(*[f"n{k}" for k in a_lang]).alias("h")).join(suffixes, "__suffix")
+    per = [F.sum(F.when(F.col("__lid_top") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{k}") for k in a_lang]
+    hosts = counts.groupBy("__lid_host", "__lid_suffix").agg(*per)
+    suffixes = counts.groupBy("__lid_suffix").agg(*per).select("__lid_suffix", F.array(*[f"n{k}" for k in a_lang]).alias("__lid_of_suffix"))
+    hosts = hosts.select("__lid_host", "__lid_suffix", F.array(*[f"n{k}" for k in a_lang]).alias("__lid_of_host")).join(suffixes, "__lid_suffix")
     few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    joined = scored.join(F.broadcast(hosts) if few else hosts, ["__host", "__suffix"], "left")
+    joined = scored.join(F.broadcast(hosts) if few else hosts, ["__lid_host", "__lid_suffix"], "left")
 
     zero = F.array(*[F.lit(0.0)] * size)
-    h, s = F.coalesce("h", zero), F.coalesce("s", zero)
-    said = F.element_at(F.create_map(*[x for n, row in zip(names, confusion, strict=True) for x in (F.lit(n), F.array(*[F.lit(float(v)) for v in row]))]), F.col("__declared"))
-    own = [F.when(F.col("__top") == k, 1.0).otherwise(0.0) for k in a_lang]
+    h, s = F.coalesce("__lid_of_host", zero), F.coalesce("__lid_of_suffix", zero)
+    said = F.element_at(F.create_map(*[x for n, row in zip(names, confusion, strict=True) for x in (F.lit(n), F.array(*[F.lit(float(v)) for v in row]))]), F.col("__lid_declared"))
+    own = [F.when(F.col("__lid_top") == k, 1.0).otherwise(0.0) for k in a_lang]
     sum_of = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-    joined = joined.withColumns({"__h": h, "__s": s, "__said": said}).withColumns({"__nh": F.greatest(sum_of(F.col("__h")) - 1, F.lit(0.0)), "__ns": F.greatest(sum_of(F.col("__s")) - 1, F.lit(0.0))})
+    joined = joined.withColumns({"__lid_h": h, "__lid_s": s, "__lid_said": said}).withColumns({"__lid_nh": F.greatest(sum_of(F.col("__lid_h")) - 1, F.lit(0.0)), "__lid_ns": F.greatest(sum_of(F.col("__lid_s")) - 1, F.lit(0.0))})
     posterior = []
     for k in a_lang:
-        of_suffix = (F.greatest(F.col("__s")[k] - own[k], F.lit(0.0)) + PARENT * float(base[k])) / (F.col("__ns") + PARENT)
-        of_host = (F.greatest(F.col("__h")[k] - own[k], F.lit(0.0)) + PARENT * of_suffix) / (F.col("__nh") + PARENT)
-        posterior.append(F.col("__ll")[k] + F.col("__said")[k] + F.log(of_host))
-    joined = joined.withColumn("__post", F.array(*posterior)).withColumn("__best", F.array_max("__post"))
-    share = 1 / F.aggregate("__post", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("__best")))
+        of_suffix = (F.greatest(F.col("__lid_s")[k] - own[k], F.lit(0.0)) + PARENT * float(base[k])) / (F.col("__lid_ns") + PARENT)
+        of_host = (F.greatest(F.col("__lid_h")[k] - own[k], F.lit(0.0)) + PARENT * of_suffix) / (F.col("__lid_nh") + PARENT)
+        posterior.append(F.col("__lid_ll")[k] + F.col("__lid_said")[k] + F.log(of_host))
+    joined = joined.withColumn("__lid_post", F.array(*posterior)).withColumn("__lid_best", F.array_max("__lid_post"))
+    share = 1 / F.aggregate("__lid_post", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("__lid_best")))
     name = lambda at: F.element_at(F.array(*[F.lit(x) for x in langs]), at)
-    at = F.array_position("__post", F.col("__best")).cast("int")
-    some = F.col("__top").isNotNull()
+    at = F.array_position("__lid_post", F.col("__lid_best")).cast("int")
+    some = F.col("__lid_top").isNotNull()
     out = joined.select(
         *columns,
         F.when(some, name(at)).alias("lang_id"),
         F.when(some, share).otherwise(0.0).alias("confidence"),
-        F.when(some, name(F.col("__top") + 1)).alias("text_lang"),
+        F.when(some, name(F.col("__lid_top") + 1)).alias("text_lang"),
     )
     bad = F.col("lang_id").isNull() | (F.col("confidence") < LEAST_POSTERIOR)
     if wanted is not None:
@@ -161,8 +172,13 @@ def identify(
 
 
 def documents_languages(docs: DataFrame) -> DataFrame:
-    """``identify`` over the table ``documents``: lang is the declared language, source the host."""
-    return identify(docs, F.col("text"), F.col("lang"), F.col("source"))
+    """``identify`` over the table ``documents``: lang is the declared language, source the host.
+
+    What follows a source's last dot is its suffix; one without a dot shares the suffix of all such.
+    """
+    source = F.col("source")
+    suffix = F.when(F.instr(source, ".") > 0, F.substring_index(source, ".", -1))
+    return identify(docs, F.col("text"), F.col("lang"), source, suffix)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
