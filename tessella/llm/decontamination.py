@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import cut, lower_ascii
 
 #: What parts words: every ASCII character but digits and letters (A-Z are lower-cased before).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Distinct windows that may be broadcast (about 16 bytes each in a long-keyed hash relation).
 BROADCAST_WINDOWS = 2_000_000
+#: Contaminated rows (id and text hash) that may be broadcast to drop them.
+BROADCAST_ROWS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -89,29 +91,12 @@ def _judged(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_
 
     known = grams.select("hash", "len").distinct()
     small = known.limit(broadcast_windows + 1).count() <= broadcast_windows
-    hits = []
-    for k, n in enumerate(lengths):
-        keys = known.filter(F.col("len") == n).select(F.col("hash").alias("probe"))
-        keys = F.broadcast(keys) if small else keys
-        # Position -1 stands for the row itself; it rides with the windows of the first length.
-        last = F.size("words") - n
-        first = -1 if k == 0 else 0
-        tokens = rows if k == 0 else rows.filter(last >= 0)
-        spread = tokens.select("doc", "body", "n_words", "words", F.explode(F.sequence(F.lit(first), F.greatest(last, F.lit(first)))).alias("pos"))
-        spread = spread.withColumn("hash", F.when(F.col("pos") >= 0, _hash("words", F.col("pos"), n)))
-        if k == 0:
-            found = spread.join(keys, spread["hash"] == keys["probe"], "left").filter((F.col("pos") < 0) | F.col("probe").isNotNull())
-        else:
-            found = spread.join(keys, spread["hash"] == keys["probe"])
-        hits.append(
-            found.select(
-                "doc", "body", "n_words", "pos", F.lit(n).alias("len"), "hash",
-                F.when(F.col("pos") >= 0, F.slice("words", F.col("pos") + 1, n)).alias("gram"),
-            )
-        )
-    hits = reduce(DataFrame.unionByName, hits)
     grams = grams.select(F.col("hash").alias("g_hash"), F.col("gram").alias("g_gram"), "items")
-    grams = F.broadcast(grams) if small and grams.limit(50_001).count() <= 50_000 else grams
+    if small:
+        hits = _probed(rows, known, lengths)
+        grams = F.broadcast(grams) if grams.limit(50_001).count() <= 50_000 else grams
+    else:
+        hits = _shuffled(rows, known, lengths)
     # Row markers have no hash: salted, they would not meet in one partition of a shuffled join.
     salted = hits.withColumn("hash", F.coalesce("hash", F.xxhash64("doc", "body")))
     checked = salted.join(grams, (salted["hash"] == grams["g_hash"]) & (salted["gram"] == grams["g_gram"]), "left")
@@ -124,6 +109,42 @@ def _judged(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_
     return whole.select("doc", "body", "n_words", _covered(F.col("spans")).alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
+_HIT = ("doc", "body", "n_words", "pos", "len", "hash", "gram")
+
+
+def _probed(rows: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """Windows of ``rows`` whose hash is among the broadcast ones, and a row of position -1 for each of ``rows``.
+
+    All lengths are tried in one pass over the texts.
+    """
+    keys = F.broadcast(known.select(F.col("len").alias("k_len"), F.col("hash").alias("probe")))
+    at = lambda n: F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda p: F.struct(p.alias("pos"), F.lit(n).alias("len")))
+    none = F.array().cast("array<struct<pos:int,len:int>>")
+    places = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("len"))), *[F.when(F.size("words") >= n, at(n)).otherwise(none) for n in lengths])
+    spread = rows.select("doc", "body", "n_words", "words", F.inline(places))
+    hashed = reduce(lambda acc, n: acc.when(F.col("len") == n, _hash("words", F.col("pos"), n)), lengths, F.when(F.col("pos") < 0, F.lit(None).cast("bigint")))
+    spread = spread.withColumn("hash", hashed)
+    found = spread.join(keys, (spread["hash"] == keys["probe"]) & (spread["len"] == keys["k_len"]), "left").filter((F.col("pos") < 0) | F.col("probe").isNotNull())
+    return found.withColumn("gram", F.when(F.col("pos") >= 0, F.slice("words", F.col("pos") + 1, F.greatest("len", F.lit(1))))).select(*_HIT)
+
+
+def _shuffled(rows: DataFrame, known: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same where window hashes are too many to broadcast: only (doc, body, place, hash) is shuffled for each window.
+
+    The words of the places that are hit are taken from the texts again, which meet them by doc and body.
+    """
+    markers = rows.select("doc", "body", "n_words", F.lit(-1).alias("pos"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("hash"), F.lit(None).cast("array<string>").alias("gram"))
+    spread = None
+    for n in lengths:
+        some = rows.filter(F.size("words") >= n).select("doc", "body", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("pos"), "words")
+        part = some.select("doc", "body", "pos", F.lit(n).alias("len"), _hash("words", F.col("pos"), n).alias("hash"))
+        spread = part if spread is None else spread.unionByName(part)
+    met = spread.join(known, ["hash", "len"], "left_semi").groupBy("doc", "body").agg(F.collect_set(F.struct("pos", "len", "hash")).alias("places"))
+    met = met.select(F.col("doc").alias("m_doc"), F.col("body").alias("m_body"), "places")
+    again = rows.join(met, rows["doc"].eqNullSafe(met["m_doc"]) & (rows["body"] == met["m_body"])).select("doc", "body", "n_words", "words", F.inline("places"))
+    return markers.unionByName(again.withColumn("gram", F.slice("words", F.col("pos") + 1, F.col("len"))).select(*_HIT))
+
+
 def _result(rows: DataFrame, doc_id: str) -> DataFrame:
     return rows.select(
         F.col("doc").alias(doc_id),
@@ -147,7 +168,8 @@ def drop_contaminated(
 ) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark window; rows with a null or repeated id go by their own text."""
     judged = _judged(docs, benchmark, doc_id, text, item_id, item_text, window, broadcast_windows).filter("n_hit > 0")
-    bad = judged.select(F.col("doc").alias("bad_id"), F.col("body").alias("bad_body")).distinct()
+    bad = cut(judged.select(F.col("doc").alias("bad_id"), F.col("body").alias("bad_body")).distinct())
+    bad = F.broadcast(bad) if bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else bad
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["bad_id"]) & (_body(docs[text]) == bad["bad_body"]), "left_anti")
 
 
