@@ -63,7 +63,7 @@ def _frequent(texts: DataFrame, most: int) -> DataFrame:
 
     def run(batches):
         def counted(seen):
-            kept = {t: n for t, n in seen.items() if n >= LOCAL_LEAST and len(t) <= 64}
+            kept = {t: n for t, n in seen.items() if n >= LOCAL_LEAST}
             return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["token", "n"])
 
         seen: Counter[str] = Counter()
@@ -94,7 +94,8 @@ def count_tokens(
     Every distinct pre-token is encoded once: the frequent ones before, in a table of at most ``head``
     rows that is broadcast; each other one where the shuffle brings its occurrences together. Ids are
     never kept, and whole texts never encoded. Null texts count as empty: no bytes, no tokens. Repeated
-    rows give repeated rows and null ids stay; other columns don't matter.
+    rows give repeated rows and null ids stay; other columns don't matter; an empty table gives no rows. Ids are of any type that
+    has an order. A pre-token that is in the head, of any length, never meets in a task.
     """
     check_model(Pieces(model_path).processor)
     spark = docs.sparkSession
@@ -114,8 +115,8 @@ def count_tokens(
         """A row a text with the pieces of its frequent pre-tokens, and a row for each other pre-token of it."""
         pieces = known.value
         for batch in batches:
-            rids, texts, docs_ = batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("doc")
-            own, sums, size, at, rest, n = [], [], [], [], [], []
+            texts, docs_ = batch.column("text").to_pylist(), batch.column("doc")
+            sums, size, at, rest, n = [], [], [], [], []
             for k, t in enumerate(texts):
                 total, others = 0, {}
                 for token in pre_tokens(t):
@@ -124,22 +125,22 @@ def count_tokens(
                         others[token] = others.get(token, 0) + 1
                     else:
                         total += c
-                own.append(k)
                 sums.append(total)
                 size.append(len(t.encode("utf-8", "replace")))
-                at += [rids[k]] * len(others)
+                at += [k] * len(others)
                 rest += others
                 n += others.values()
-            blank = pa.nulls(len(rest))
+            own, at = range(len(texts)), pa.array(at, pa.int64())
+            ids = [pa.concat_arrays([batch.column(c), batch.column(c).take(at)]) for c in ("one", "two")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rids + at, pa.int64()),
-                    pa.array([None] * len(own) + rest, pa.string()),
+                    *ids,
+                    pa.array([None for _ in own] + rest, pa.string()),
                     pa.array(sums + n, pa.int64()),
-                    pa.concat_arrays([docs_, blank.cast(docs_.type)]),
+                    pa.concat_arrays([docs_, pa.nulls(len(rest)).cast(docs_.type)]),
                     pa.array(size + [None] * len(rest), pa.int64()),
                 ],
-                names=["rid", "token", "n", "doc", "n_bytes"],
+                names=["one", "two", "token", "n", "doc", "n_bytes"],
             )
 
     def join_pieces(batches):
@@ -149,7 +150,7 @@ def count_tokens(
         for batch in batches:
             tokens = batch.column("token")
             marks = pa.compute.is_null(tokens)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(marks) for c in ("rid", "doc", "n_bytes", "n")], names=["rid", "doc", "n_bytes", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(marks) for c in made], names=made)
             some = batch.filter(pa.compute.invert(marks))
             if not some.num_rows:
                 continue
@@ -161,17 +162,21 @@ def count_tokens(
             last = some.column("token")[some.num_rows - 1].as_py()
             last_count = int(counts[distinct.index(last)])
             sums = counts[coded.indices.to_numpy()] * some.column("n").to_numpy()
-            rid, where = np.unique(some.column("rid").to_numpy(), return_inverse=True)
-            sums = np.bincount(where, sums, len(rid)).astype(np.int64)
-            nothing = pa.nulls(len(rid))
-            yield pa.RecordBatch.from_arrays([pa.array(rid), nothing.cast(batch.column("doc").type), nothing.cast(pa.int64()), pa.array(sums)], names=["rid", "doc", "n_bytes", "n"])
-
-    # The id of a row follows from its place in the input, so a lost task finds the same ids again.
-    cut = rows.select(F.monotonically_increasing_id().alias("rid"), "doc", "text").mapInArrow(cut_texts, f"rid bigint, token string, n bigint, doc {kind}, n_bytes bigint")
-    met = cut.repartition(F.when(F.col("token").isNull(), F.xxhash64("rid")).otherwise(F.xxhash64("token")))
-    parts = met.sortWithinPartitions("token").mapInArrow(join_pieces, f"rid bigint, doc {kind}, n_bytes bigint, n bigint")
-    whole = parts.groupBy("rid").agg(F.max("doc").alias("doc"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return whole.select(F.col("doc").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+            one, first, where = np.unique(some.column("one").to_numpy(), return_index=True, return_inverse=True)
+            sums = np.bincount(where, sums, len(one)).astype(np.int64)
+            nothing = pa.nulls(len(one))
+            two = some.column("two").take(pa.array(first))
+            yield pa.RecordBatch.from_arrays([pa.array(one), two, nothing.cast(batch.column("doc").type), nothing.cast(pa.int64()), pa.array(sums)], names=made)
+
+    made = ["one", "two", "doc", "n_bytes", "n"]
+    # Rows are known by two hashes of id and text, which a lost task finds again; equal rows are counted, and their sum parted.
+    named = rows.select(F.xxhash64("doc", "text").alias("one"), F.xxhash64(F.lit(1), "doc", "text").alias("two"), "doc", "text")
+    cut = named.mapInArrow(cut_texts, f"one bigint, two bigint, token string, n bigint, doc {kind}, n_bytes bigint")
+    met = cut.repartition(F.when(F.col("token").isNull(), F.xxhash64("one")).otherwise(F.xxhash64("token")))
+    parts = met.sortWithinPartitions("token").mapInArrow(join_pieces, f"one bigint, two bigint, doc {kind}, n_bytes bigint, n bigint")
+    whole = parts.groupBy("one", "two").agg(F.max("doc").alias("doc"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.count("n_bytes").alias("copies"))
+    each = whole.select("doc", "n_bytes", F.expr("n div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    return each.select(F.col("doc").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
