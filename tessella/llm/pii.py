@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +15,14 @@ from . import boosting
 from .common import add_columns, hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of which candidates are gathered for training, and candidates kept of them, at most.
+#: Documents of which candidates are gathered for training, and candidates kept of them, at most. They are weakly labelled rows;
+#: what is kept is what has the least hashes, so it is a fair sample of all kinds.
 SAMPLE_DOCUMENTS = 3000
-SAMPLE_CANDIDATES = 20_000
-PER_DOCUMENT = 40
+SAMPLE_CANDIDATES = 30_000
+#: Candidates of one document, and base spans of it that are rewritten, at most.
+PER_DOCUMENT, REWRITTEN = 40, 6
+#: Wrong candidates beside a rewritten span.
+BESIDE = 3
 #: Least precision on the calibration part at which a kind's candidates are taken.
 PRECISION = 0.98
 
@@ -29,13 +34,16 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-# Candidate generators: wider than the base patterns.
-_AT = re.compile(r"@|[ (\[{]+(?:at|AT)[)\]} ]+")
-_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
-_RIGHT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|[ (\[{]+(?:dot|DOT)[)\]} ]+)[A-Za-z0-9-]{1,24}){1,5}")
+# Candidate generators: wider than the base patterns. Labels of a domain are at most 127 by its format.
+_AT = re.compile(r"[ ]*[(\[{]*@[)\]}]*[ ]*|[ (\[{]+(?:at|AT)[)\]} ]+")
+_DOT = r"(?:\.|[ ]*[(\[{]\.[)\]}][ ]*|[ (\[{]+(?:dot|DOT)[)\]} ]+)"
+_RIGHT = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,126}}")
+_DOTS = re.compile(_DOT)
 _DIGITS = re.compile(r"(?:\+|\(\+?)?[0-9](?:[0-9]|[ ().\-/_]{1,3}(?=[0-9(]))*")
 _GROUP = re.compile(r"[0-9]+")
-_HEX = re.compile(r"[0-9a-fA-F:]*:[0-9a-fA-F:]*:[0-9a-fA-F:]+")
+_HEX = re.compile(r"(?<![0-9A-Za-z:])[0-9a-fA-F:]*:[0-9a-fA-F:]*:[0-9a-fA-F:]+(?![0-9A-Za-z])")
+_DEFANGED = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[ ]*(?:[(\[{][ ]*(?:\.|dot|DOT)[ ]*[)\]}]|\.|[ ]dot[ ]|[ ]DOT[ ])[ ]*[0-9]{1,3}){3}(?![0-9])")
+_AGAIN = re.compile(r"[ (\[{]*(?:@|at\b|AT\b)")
 
 
 def _digits(s: str) -> str:
@@ -85,14 +93,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping spans that may be personal data; many are not."""
     found: set[tuple[str, int, int]] = set()
+    free = 0
     for m in _AT.finditer(text):
-        left, right = _LEFT.search(text[max(0, m.start() - 64) : m.start()]), _RIGHT.match(text, m.end())
-        if left and right:
-            start = m.start() - len(left[0])
-            found.add(("email", start, right.end()))
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        free, right = m.end(), _RIGHT.match(text, m.end())
+        if start < m.start() and right:
             # Domains may run on into the next words; shorter ends are candidates as well.
-            ends = [right.start() + k.start() for k in re.finditer(r"\.|[ (\[{]+(?:dot|DOT)", right[0])]
-            found.update(("email", start, e) for e in ends[1:])
+            ends = [right.start() + k.start() for k in _DOTS.finditer(right[0])][1:]
+            found.update(("email", start, e) for e in [*ends, right.end()] if not text[e - 1].isdigit())
+    found.update(("ip", *m.span()) for m in _DEFANGED.finditer(text))
     for m in _DIGITS.finditer(text):
         groups = [(g.start() + m.start(), g.end() + m.start()) for g in _GROUP.finditer(m[0])]
         if len(groups) == 1 and groups[0][1] - groups[0][0] < 7:
@@ -110,8 +121,6 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                     found.add(("card", start, end))
                 if 7 <= n <= 15:
                     found.add(("phone", start, end))
-                if j == i + 3 and n <= 12:
-                    found.add(("ip", start, end))
     found.update(("ip", *m.span()) for m in _HEX.finditer(text) if m[0].count(":") >= 3 and m.end() - m.start() >= 8)
     return sorted(found)
 
@@ -138,6 +147,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(s[:1] in "+("), float(s[:1] == "0"), float(len(digits) > 1 and luhn(digits)), float(len(groups) == 4 and all(map(_small, groups))),
         sum(c.isalpha() for c in s), float(bool(re.search(r"\bdot\b|\bat\b", s, re.I))), len(re.split(r"[.\s)\]}]+", s)[-1]),
         float(bool(prev) and prev.isalnum()), float(bool(nxt) and nxt.isalnum()), float(prev in tuple("+(-./@_")), float(nxt in tuple("-./@_")),
+        float(bool(_AGAIN.match(after))), s.count("["), float(len([g for g in s.split(":") if g]) >= 4 and all(len(g) <= 4 for g in s.split(":"))), float(any(c in "abcdefABCDEF" for c in s)),
         float(after[:2].strip()[:1].isdigit()), float(before[-2:].strip()[-1:].isdigit()), float(prev in ('"', "'", "=")),
         *[float(bool(w.search(before))) for w in _WORDS],
     ]
@@ -147,11 +157,26 @@ def _variants(kind: str, s: str) -> list[tuple[str, int]]:
     """Other ways to write a confirmed span (label 1), and things that look like it (label 0)."""
     d = _digits(s)
     if kind == "email":
-        name, _, domain = s.partition("@")
-        return [(f"{name} at {domain.replace('.', ' dot ')}", 1), (f"{name} [at] {domain.replace('.', ' [dot] ')}", 1), (f"{name}(at){domain}", 1), (f"{name} at the", 0), (f"{name}@", 0)]
+        # Names and domains of other shapes than the text's own, so that the trees don't learn one source's habits.
+        own, _, given = s.partition("@")
+        plain, label, turn = "".join(c for c in own if c.isalpha()) or "info", given.split(".")[-2], _order(s)
+        name = (own, plain, f"{plain[:1]}.{plain}", f"{plain}_{len(s)}", plain[:4])[turn % 5]
+        domain = (given, f"{label}.org", f"{plain}.de", f"{label}.co.uk", f"mail.{plain}.fr", f"www-{label}.info")[turn // 5 % 6]
+        return [
+            (f"{name} at {domain.replace('.', ' dot ')}", 1), (f"{name} [at] {domain.replace('.', ' [dot] ')}", 1), (f"{name}(at){domain}", 1),
+            (f"{name} at {domain}", 1), (f"{name} (at) {domain.replace('.', ' (dot) ')}", 1), (f"{name}[@]{domain}", 1), (f"{name} @ {domain.replace('.', ' . ')}", 0),
+            (f"{name}@{domain.replace('.', '[.]')}", 1), (f"{name} @ {domain}", 1), (f"{name} AT {domain.replace('.', ' DOT ')}", 1),
+            (f"{name} at the", 0), (f"{name}@", 0),
+        ]
     if kind == "ip":
         a, b, c, e = s.split(".")
-        return [(f"{a}.{b}", 0), (f"{a}.{b}.{c}", 0), (f"{a}-{b}-{c}-{e}", 0), (f"{int(a) + 300}.{b}.{c}.{e}", 0)]
+        w, x, y, z = (f"{int(p) * 257 + 4096:x}" for p in (a, b, c, e))
+        return [
+            (f"{a}[.]{b}[.]{c}[.]{e}", 1), (f"{a}(.){b}(.){c}(.){e}", 1), (f"{a} dot {b} dot {c} dot {e}", 1), (f"{a}[dot]{b}[dot]{c}[dot]{e}", 1), (f"{a}.{b}.{c}[.]{e}", 1), (f"{a} . {b} . {c} . {e}", 1),
+            (f"2001:db8::{w}:{x}:{y}", 1), (f"fe80::{w}:{x}:{y}:{z}", 1), (f"2001:db8:{w}:{x}:{y}:{z}:{w}:1", 1), (f"2001:DB8:0:0:{w}:{x}:{y}:{z}".upper(), 1),
+            (f"{int(a) % 24:02}:{int(b) % 60:02}:{int(c) % 60:02}:{int(e) % 60:02}", 0), (f"{int(a):02x}:{int(b):02x}:{int(c):02x}:{int(e):02x}:{int(a):02x}:{int(b):02x}", 0),
+            (f"{a}.{b}", 0), (f"{a}.{b}.{c}", 0), (f"{a}-{b}-{c}-{e}", 0), (f"{int(a) + 300}.{b}.{c}.{e}", 0), (f"{int(a) + 300}[.]{b}[.]{c}[.]{e}", 0), (f"{a[:1]} . {b} . {int(c) + 300} . {e}", 0),
+        ]
     if kind == "card":
         wrong = d[:-1] + str((int(d[-1]) + 5) % 10)
         quads = lambda x, sep: sep.join(x[k : k + 4] for k in range(0, len(x), 4))
@@ -166,25 +191,39 @@ def _variants(kind: str, s: str) -> list[tuple[str, int]]:
         (f"({local[:3]}) {local[3:6]}-{local[6:]}", 1), (f"{local[:3]}-{local[3:6]}-{local[6:]}", 1), (f"{local[:3]}.{local[3:6]}.{local[6:]}", 1),
         (f"00{d[:-10] or '1'} {local[:3]} {local[3:6]} {local[6:]}", 1), (f"+{d[:-10] or '1'}/{local[:3]}/{local[3:6]}/{local[6:]}", 1),
         (" ".join(local), 1), ("-".join(local), 1), ("/".join(local), 1), (f"0 {' '.join(local[1:])}", 1), (" ".join(local[:7]), 0), ("-".join(local[:7]), 0), (local, 0), (local[:7], 0), (f"{local[:4]}-{local[4:6]}-{local[6:8]}", 0), (f"{local[:4]}/{local[4:8]}", 0), (f"{local[:2]}.{local[2:4]}.{local[4:8]}", 0),
+        (f"978-{local[0]}-{local[1:3]}-{local[3:9]}-{local[9:]}", 0), (f"20{local[:2]}-20{local[2:4]}", 0), (f"20{local[:2]}-0{local[2]}-1{local[3]} 1{local[4]}", 0),
     ]
 
 
+#: What may stand before a rewritten address: other words that could be taken for its beginning.
+_LEADS = ("", "", "reach me at ", "contact me at ", "write to ")
+
+
+def _order(text: str, *of) -> int:
+    return xxhash.xxh3_64_intdigest(f"{len(text)}:{of}".encode("utf-8", "replace"))
+
+
 def training_rows(text: str, most: int = PER_DOCUMENT) -> list[tuple[list[float], int]]:
     """Features and weak labels: base spans and rewritings of them are right, other candidates wrong."""
     base = base_spans(text)
     right, rows = set(base), []
-    for kind, start, end in candidates(text):
+    # Where a pattern ran on too far to be one span, what is right within it isn't known.
+    unsure = [m.span() for m in (*_PHONE.finditer(text), *_CARD.finditer(text)) if len(_digits(m[0])) > 15 and not any(s < m.end() and m.start() < e for _, s, e in base)]
+    for kind, start, end in sorted(candidates(text), key=lambda c: _order(text, *c))[:most]:
         mine = (kind, start, end) in right
-        if mine or not any(k == kind and s < end and start < e for k, s, e in base):
+        if mine or not (any(k == kind and s < end and start < e for k, s, e in base) or any(s < end and start < e for s, e in unsure)):
             rows.append((features(text, kind, start, end), int(mine)))
-    rows = rows[:most]
-    for kind, start, end in base[: most // 8]:
+    for kind, start, end in sorted(base, key=lambda c: _order(text, *c))[:REWRITTEN]:
         before, after = text[max(0, start - 30) : start], text[end : end + 30]
-        for s, label in _variants(kind, text[start:end]):
-            other, lo, hi = before + s + after, len(before), len(before) + len(s)
-            for k, a, b in candidates(other):
-                if k == kind and a < hi and lo < b:
-                    rows.append((features(other, k, a, b), int(label and (a, b) == (lo, hi))))
+        for at, (s, label) in enumerate(_variants(kind, text[start:end])):
+            lead = _LEADS[(start + at) % len(_LEADS)] if kind == "email" else ""
+            other, lo = before + lead + s + after, len(before) + len(lead)
+            hi = lo + len(s)
+            near = [(a, b) for k, a, b in candidates(other) if k == kind and a < hi and lo - len(lead) < b]
+            rows += [(features(other, kind, a, b), label) for a, b in near if (a, b) == (lo, hi)]
+            # Of its parts and what reaches beyond it, a few stand for all: else they would outweigh the rest of the sample.
+            wrong = sorted((c for c in near if c != (lo, hi)), key=lambda c: _order(other, *c))[:BESIDE]
+            rows += [(features(other, kind, a, b), 0) for a, b in wrong]
     return rows
 
 
@@ -202,12 +241,14 @@ class Model:
 def train(docs: DataFrame, text: str = "text") -> Model | None:
     """Boosted trees on candidates of at most SAMPLE_DOCUMENTS documents; None where they hold too few."""
     sample = hash_sample(docs.select(F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]")), F.col("text"), SAMPLE_DOCUMENTS)
-    rows = sample.dropDuplicates().mapInArrow(_train_batches, "x array<float>, y int").orderBy(F.xxhash64("x", "y")).limit(SAMPLE_CANDIDATES).collect()
+    rows = sample.dropDuplicates().mapInArrow(_train_batches, "x array<float>, y int, text bigint").orderBy(F.xxhash64("x", "y"), "text").limit(SAMPLE_CANDIDATES).collect()
     if len(rows) < 50 or len({r["y"] for r in rows}) < 2:
         return None
     x, y = np.array([r["x"] for r in rows], dtype=float), np.array([r["y"] for r in rows], dtype=float)
-    held = np.arange(len(y)) % 3 == 0  # rows come in hash order
-    trees = boosting.fit(x[~held], y[~held])
+    held = np.array([r["text"] % 3 == 0 for r in rows])  # by document: rewritings of a span are all on one side
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        return None
+    trees = boosting.fit(x[~held], y[~held], n_trees=100, depth=4, rate=0.3)
     slope, shift = boosting.platt(trees.margin(x[held]), y[held])
     model = Model(trees, slope, shift, {})
     p = model.scores(x[held])
@@ -222,8 +263,8 @@ def train(docs: DataFrame, text: str = "text") -> Model | None:
 
 def _train_batches(batches):
     for batch in batches:
-        rows = [r for t in batch.column(0).to_pylist() for r in training_rows(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float32())), pa.array([r[1] for r in rows], pa.int32())], names=["x", "y"])
+        rows = [(*r, xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) >> 1) for t in batch.column(0).to_pylist() for r in training_rows(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.float32())), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["x", "y", "text"])
 
 
 def all_spans(text: str, model: Model | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -268,7 +309,11 @@ def find_pii(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 
 def redact(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets; null texts stay null."""
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; of overlapping spans, all that either covers goes.
+
+    Null and empty texts stay. Every row is redacted alone and whole, repeated rows alike; other columns keep their
+    names, places and values, but one named ``__pii_raw``. An empty table gives no rows.
+    """
 
     def clean(t: str) -> str:
         out, at = [], 0
@@ -282,7 +327,7 @@ def redact(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
         return lambda texts: [[clean(t) if t else t for t in texts]]
 
     columns = docs.columns
-    done = add_columns(docs.withColumnRenamed(text, "__raw"), ["__raw"], make, {text: ("string", pa.string())})
+    done = add_columns(docs.withColumnRenamed(text, "__pii_raw"), ["__pii_raw"], make, {text: ("string", pa.string())})
     return done.select(*columns)
 
 
