@@ -159,6 +159,14 @@ def plain_words(text: str) -> set[bytes]:
     return set(text.encode("utf-8", "replace").translate(_TO_SPACE).split())
 
 
+_REPEATED = re.compile(rb"(.)\1")
+_RUN_OF_ONE = re.compile(rb"(.)\1+")
+
+
+def _squeeze(word: bytes) -> bytes:
+    return _RUN_OF_ONE.sub(rb"\1", word)
+
+
 def with_stems(words: set[bytes]) -> set[bytes]:
     """The words, and their first bytes with a star: insults are inflected and compounded."""
     return words | {w[:k] + b"*" for w in words for k in STEMS if len(w) > k}
@@ -256,6 +264,14 @@ class Scorer:
         found = plain_words(text) | {w.encode() for w in restorer.restored(text)}
         starts = {w[: STEMS[0]] for w in self.words if w.endswith(b"*")} if not hasattr(self, "_starts") else self._starts
         self._starts = starts
+        if not hasattr(self, "_squeezed"):
+            plain = (w for w in self.words if not w.endswith(b"*"))
+            self._squeezed = {_squeeze(w): w for w in plain}
+        # Letters that are only doubled are no trigger: too many words have one. A word with two more repeats than the lexicon's is it.
+        for w in [w for w in found if _REPEATED.search(w)]:
+            meant = self._squeezed.get(_squeeze(w))
+            if meant is not None and len(w) >= len(meant) + 2:
+                found.add(meant)
         stems = with_stems({w for w in found if w[: STEMS[0]] in starts})
         return sorted({self.words[w] for w in (found | stems) & self.words.keys()})
 
@@ -340,7 +356,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``: the probability of the toxic label. Null and empty texts get that of no word found; without a scorer all get 0."""
+    """``docs`` with ``score``: the probability of the toxic label. Null and empty texts get that of no word found; without a scorer all get 0.
+
+    Every row is scored alone and whole, so repeated rows have equal scores; a very long text costs memory for itself. A
+    column named score is replaced, others pass through; an empty table gives no rows.
+    """
 
     def make():
         restorer = scorer.restorer() if scorer else None
