@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A machine from at most SAMPLE labelled documents; None if only one label is there.
 
     ``labels`` holds the rows to learn from. Ids with several labels count with their mean; null ids and
-    null labels are left out.
+    null labels are left out. Of an id with several texts the least one is read, in binary order; texts are read whole.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("y")).dropna().groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     known = F.broadcast(hash_sample(known, F.col("id"), SAMPLE))  # SAMPLE rows at most
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["y", "words", "stats"])
 
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    picked = texts.join(known, "id").dropDuplicates(["id"]).select("y", "text").mapInArrow(run, "y int, words array<int>, stats array<float>")
+    picked = texts.join(known, "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text").mapInArrow(run, "y int, words array<int>, stats array<float>")
     table = picked.toArrow()
     y = table.column("y").to_numpy().astype(float)
     if len(set(y)) < 2:
@@ -146,7 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score_quality(docs: DataFrame, model: Machine | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``score``: the probability of label 1. Empty and null texts get the score of no words; without a model all get 0.5."""
+    """``docs`` with ``score``: the probability of label 1. Empty and null texts get the score of no words; without a model all get 0.5.
+
+    Every row is scored alone and whole, so repeated rows have equal scores; a very long text costs memory for itself. A
+    column named score is replaced, others pass through; an empty table gives no rows.
+    """
 
     def make():
         ids = WordIds()
