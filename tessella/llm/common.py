@@ -14,10 +14,16 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is set only where the session has none."""
+    """The folder named by spark.checkpoint.dir; a temporary one is set only where the session has none and runs on one machine.
+
+    What is staged there lies in one folder an application and stays, as results may be read later; it can be
+    removed when the application has ended.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -32,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stage(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: like ``cut``, but compressed and read by column."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{df.sparkSession.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -42,7 +48,10 @@ BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the session from handing more than BATCH_ROWS rows at once to Python."""
+    """Keeps the session from handing more than BATCH_ROWS rows at once to Python: the setting is lowered, and stays so.
+
+    Results are made lazily, after the operator has returned, so it can't be put back.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)

@@ -50,6 +50,43 @@ def test_candidates_beyond_the_patterns(spark):
     assert base == [] and all(s[0] == "card" for s in spans)
 
 
+def disguised(rnd):
+    """(kind, text) of spans that the base patterns don't match."""
+    d = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    card = d(15)
+    card += next(c for c in "0123456789" if pii.luhn(card + c))
+    name, host = rnd.choice(["anna.berg", "j_smith", "maria", "k.lopez"]), rnd.choice(["example.org", "mail.example.com", "firma.de"])
+    parts = [str(rnd.randrange(256)) for _ in range(4)]
+    return [
+        ("email", f"{name}[at]{host.replace('.', '[dot]')}"), ("email", f"{name} (at) {host}"), ("email", f"{name}(at){host}"),
+        ("ip", "[.]".join(parts)), ("ip", " dot ".join(parts)), ("ip", ":".join(f"{rnd.randrange(4096, 65536):x}" for _ in range(8))),
+        ("card", "  ".join(re.findall("....", card))), ("card", "/".join(re.findall("..", card))),
+        ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", f"{rnd.randrange(200, 999)}-{d(3)}-{d(4)}"), ("phone", " ".join("0" + d(9))),
+    ]
+
+
+def test_planted_disguises_are_found(spark):
+    import random
+
+    model, rnd, found, clean = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")), random.Random(2), [], 0
+    for _ in range(40):
+        for kind, s in disguised(rnd):
+            before = rnd.choice(["you can reach me at ", "please note ", "he wrote ", "my details: "])
+            assert pii.base_spans(before + s) == []
+            found.append((kind, len(before), len(before) + len(s)) in pii.all_spans(f"{before}{s} thanks", model)[1])
+    assert np.mean(found) >= 0.9
+    for t in ("mac 00:1a:2b:3c:4d:5e", "look at example. The end", "isbn 978-3-16-148410-0", "between 2010-2014", "order 1234567", "at 12:34:56:01"):
+        clean += len(pii.all_spans(t, model)[1])
+    assert clean <= 1
+    text = "reach me at john.doe at example dot com please"
+    assert not any(s == ("email", 9, 24) for s in pii.all_spans(text, model)[1])
+
+
+def test_candidates_have_no_bounds_of_length():
+    name, host = "a" * 200 + ".b", ".".join(["sub"] * 20 + ["x" * 40, "example"])
+    assert ("email", 3, 3 + len(f"{name} at {host}")) in pii.candidates(f"to {name} at {host} now")
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
@@ -75,6 +112,37 @@ def test_quality_held_out(spark):
     assert np.mean([a == b for a, b in rows]) > 0.95
 
 
+def test_margins_are_sums_over_pairs():
+    rng = np.random.default_rng(4)
+    size = quality.BUCKETS + quality.N_STATISTICS * quality.BINS
+    m = quality.Machine(0.3, rng.normal(size=size), rng.normal(0, 0.3, (size, quality.FACTORS)), np.sort(rng.normal(size=(quality.N_STATISTICS, quality.BINS - 1)), axis=1))
+    words, stats = [np.array([3, 70, 900]), np.array([], dtype=int)], rng.normal(size=(2, quality.N_STATISTICS))
+    ids, values, starts = m.rows(words, stats)
+    for got, lo, hi in zip(m.margins(ids, values, starts), starts, [*starts[1:], len(ids)], strict=True):
+        i, x = ids[lo:hi], values[lo:hi]
+        pairs = sum(m.factors[i[a]] @ m.factors[i[b]] * x[a] * x[b] for a in range(len(i)) for b in range(a))
+        assert got == pytest.approx(m.bias + m.weights[i] @ x + pairs)
+
+
+def test_decoding_is_the_best_of_all_readings():
+    import itertools
+
+    model = plain_restorer().model
+    for signs in ("1d10t", "s7up1d", "l0ser", "5(um", "m0r0n"):
+        options = [[(c, 0.0)] if c.isalpha() else [(v, toxicity._SWAP) for v in toxicity.CHANNEL[c]] for c in signs]
+        scored = []
+        for reading in itertools.product(*options):
+            codes = [0, 0, *(ord(c) - 96 for c, _ in reading), 0]
+            total = sum(model.logp[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)) - sum(cost for _, cost in reading)
+            scored.append((total, "".join(c for c, _ in reading)))
+        assert model.decode(signs) == [t for _, t in sorted(scored, reverse=True)][: toxicity.BEST]
+
+
+def test_doubled_letters_are_read():
+    scorer = toxicity.Scorer(plain_restorer().model, {b"stupid": 0}, np.array([5.0]), -2.0)
+    assert scorer.hits(scorer.restorer(), "sstuupid") == [0] and scorer.hits(scorer.restorer(), "stuupid books") == []
+
+
 def test_toxicity_held_out(spark):
     rows = held_out_rows(spark, "op4_toxicity", "toxic", 5, 0)
     assert np.mean([a == b for a, b in rows]) > 0.9
@@ -132,14 +200,47 @@ def test_urls(spark):
     assert url_filters.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules.limit(0)).filter("rule is not null").count() == 0
 
 
+def raked(cells, goals, rounds=400):
+    """A plain loop: weights of cells (category, category, ..., tokens) that meet goals, shares a dimension and category."""
+    w, total = [1.0] * len(cells), sum(c[-1] for c in cells)
+    for _ in range(rounds):
+        for d, goal in enumerate(goals):
+            for name, share in goal.items():
+                mine = [k for k, c in enumerate(cells) if c[d] == name]
+                now = sum(w[k] * cells[k][-1] for k in mine)
+                for k in mine:
+                    w[k] *= share * total / now
+    return w
+
+
+@pytest.mark.parametrize("driver_cells", [1000, 0])
+def test_weights_are_those_of_a_plain_loop(spark, driver_cells):
+    cells = [("a", "x", 10), ("a", "y", 30), ("b", "x", 5), ("b", "y", 5), ("c", "x", 50)]
+    targets = {"p": {"a": 2, "b": 1, "c": 1, "absent": 5}, "q": {"x": 0.5, "y": 0.5}}
+    fitted, off = mixing.fit_cells(spark.createDataFrame(cells, "p string, q string, tokens bigint"), ("p", "q"), targets, driver_cells)
+    got = {(r["p"], r["q"]): r["weight"] for r in fitted.collect()}
+    want = raked(cells, [{"a": 0.5, "b": 0.25, "c": 0.25}, {"x": 0.5, "y": 0.5}])
+    assert off < 1e-5 and [got[c[:2]] for c in cells] == pytest.approx(want, rel=1e-3)
+
+
 @pytest.mark.parametrize("driver_cells", [1000, 0])
-def test_marginals_meet_their_targets(spark, sf, driver_cells):
+def test_targets_without_tokens_give_way_to_tempered_shares(spark, driver_cells):
+    cells = spark.createDataFrame([("a", 90), ("b", 10)], "p string, tokens bigint")
+    fitted, _ = mixing.fit_cells(cells, ("p",), {"p": {"absent": 1.0}}, driver_cells)
+    share = 90**0.7 / (90**0.7 + 10**0.7)
+    assert {r["p"]: r["weight"] * r["tokens"] for r in fitted.collect()} == pytest.approx({"a": 100 * share, "b": 100 * (1 - share)})
+    against = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "p string, q string, tokens bigint")
+    assert mixing.fit_cells(against, ("p", "q"), {"p": {"a": 0.9, "b": 0.1}, "q": {"x": 0.1, "y": 0.9}}, driver_cells)[1] > 0.5
+
+
+def test_marginals_meet_their_targets(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = mixing.mix_documents(docs, targets={"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}, driver_cells=driver_cells).cache()
+    out = mixing.mix_documents(docs, targets={"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}).cache()
     total = out.agg(F.sum("mix_tokens")).first()[0]
     by = {r["lang"]: r["w"] / total for r in out.groupBy("lang").agg(F.sum(F.col("weight") * F.col("mix_tokens")).alias("w")).collect()}
     assert by == pytest.approx({"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, abs=0.01)
-    assert out.filter("probability > 1 or probability < 0").count() == 0 and out.count() == docs.count()
+    assert out.filter("probability > 1 or probability < 0 or sampled <> (copies > 0) or abs(copies - weight * 0.5) >= 1").count() == 0 and out.count() == docs.count()
+    assert out.agg(F.sum(F.col("mix_tokens") * F.col("weight") * 0.5)).first()[0] == pytest.approx(total / 2, rel=1e-6)
 
 
 def test_mixing_odd_rows(spark):
@@ -162,6 +263,48 @@ def test_languages(spark, sf):
     assert queries()["pages_languages"](spark, sf).filter("declared <> lang_id").count() <= 3
 
 
+def test_any_column_names_pass(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    for name in ("s", "h", "n", "lang_h", "topic", "weight", "tokens", "drop_id", "token", "part", "bucket"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    found = language_id.documents_languages(docs)
+    assert found.columns[: len(docs.columns)] == docs.columns and found.filter("s = 'mine' and h = 'mine'").count() == 60
+    mixed = mixing.mix_documents(docs)
+    assert mixed.count() == 60 and mixed.filter("s = 'mine' and tokens = 'mine'").count() == 60
+    assert decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).columns == docs.columns
+
+
+def test_rare_codes_are_no_languages(spark):
+    rows = [(k, f"the words of text {k % 7}", "en", "a") for k in range(3000)] + [(5000 + k, "the words", f"x{k}", "a") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language_id.train_text(docs)[0] == ["en"]
+    assert {r["lang_id"] for r in language_id.documents_languages(docs).select("lang_id").distinct().collect()} == {"en"}
+
+
+def test_posteriors_by_hand(spark):
+    rows = [(1, "aaa bbb", "en", "h1"), (2, "aaa bbb", "en", "h1"), (3, "zzz yyy", "de", "h2"), (4, "zzz yyy", None, "h2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    langs, logp = language_id.train_text(docs)
+    got = {r["doc_id"]: (r["lang_id"], r["confidence"]) for r in language_id.documents_languages(docs).collect()}
+    lik = {t: logp @ np.bincount(language_id._trigrams(t), minlength=language_id.BUCKETS) for t in ("aaa bbb", "zzz yyy")}
+    tops = [int(lik[r[1]].argmax()) for r in rows]
+    base = np.bincount(tops, minlength=2) + 1.0
+    base /= base.sum()
+    confusion = np.ones((4, 2))
+    for r, t in zip(rows, tops, strict=True):
+        confusion[[*langs, "other", "none"].index(r[2] or "none"), t] += 1
+    confusion = np.log(confusion / confusion.sum(axis=0))
+    confusion[3] = 0
+    for r, t in zip(rows, tops, strict=True):
+        host = np.bincount([u for s, u in zip(rows, tops, strict=True) if s[3] == r[3]], minlength=2).astype(float)
+        every, own = np.bincount(tops, minlength=2).astype(float), np.eye(2)[t]
+        suffix = (every - own + language_id.PARENT * base) / (every.sum() - 1 + language_id.PARENT)
+        prior = (host - own + language_id.PARENT * suffix) / (host.sum() - 1 + language_id.PARENT)
+        post = lik[r[1]] + confusion[[*langs, "other", "none"].index(r[2] or "none")] + np.log(prior)
+        p = np.exp(post - post.max())
+        assert got[r[0]] == (langs[int(post.argmax())], pytest.approx(float(p.max() / p.sum()), rel=1e-6))
+
+
 def test_wrong_declarations_are_overruled_by_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     wrong = docs.withColumn("lang", F.when(F.col("doc_id") % 20 == 0, "en").otherwise(F.col("lang")))

@@ -3,7 +3,6 @@
 import collections
 import hashlib
 import random
-import re
 
 import numpy as np
 import pytest
@@ -201,7 +200,7 @@ def test_token_counts_are_the_library_s(spark, sf, head):
 
     path = public_tokenizers.path(token_counts.MODEL)
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [*ODD, (1, "a\n\n  b \n c  "), (2, " "), (3, "  "), (4, "\n"), (6, "<s> x</s>\r\n;\r ▁a ▁▁ b"), (7, "x" * 20000), (8, "\x00 é　ﬁ 𝒳\t\t  \n\n")]
+    rows = [*ODD, (1, "a\n\n  b \n c  "), (2, " "), (3, "  "), (4, "\n"), (6, "<s> x</s>\r\n;\r ▁a ▁▁ b"), (7, "x" * 20000), *[(9, "y" * 300 + " z")] * 6, (None, "n"), (None, "n"), (8, "\x00 é　ﬁ 𝒳\t\t  \n\n")]
     rows += [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).collect()]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("token", F.lit(1)).withColumn("rid", F.lit("x"))
     got = collections.Counter(tuple(r) for r in token_counts.count_tokens(df, path, head=head).collect())
@@ -218,23 +217,42 @@ def test_fingerprints(spark, sf):
     want = collections.Counter()
     for r, n in zip(order, order[1:] + order[:1], strict=True):
         want[r["doc_id"], len(r["t"]), hashlib.sha256(fingerprints.edited(r["t"], n["t"]).encode()).hexdigest()] += 1
-    got = fingerprints.fingerprints(df.withColumn("bucket", F.lit(0)), buckets=7).collect()
+    got = fingerprints.fingerprints(df.withColumn("bucket", F.lit(0)).repartition(3)).collect()
     assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    by_text = {}
-    for r in got:
-        by_text.setdefault(r["n_chars"], set()).add(r["fingerprint"])
+    lexicon = fingerprints.lexicon_of(df)
+    of = lambda t: fingerprints.fingerprint(np.unique(WordIds().array(ascii_words(t))), lexicon)
+    expected = collections.Counter()
+    for r, n in zip(order, order[1:] + order[:1], strict=True):
+        own, other, following = of(r["t"]), of(fingerprints.edited(r["t"], n["t"])), of(n["t"])
+        expected[r["doc_id"], own.pack().hex(), other.pack().hex(), fingerprints.likeness(own, other), fingerprints.likeness(own, following)] += 1
+    assert collections.Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got) == expected
     assert np.mean([r["near_edited"] for r in got if r["n_chars"] > 1000]) > 0.2 > np.mean([r["near_next"] for r in got if r["n_chars"] > 1000])
     assert fingerprints.fingerprints(df.limit(0)).count() == 0
     single = fingerprints.fingerprints(spark.createDataFrame([(1, "abc def")], SCHEMA)).first()
     assert single["near_next"] == 1.0
+    named = fingerprints.fingerprints(spark.createDataFrame([("b", "x"), ("a", "y"), (None, "z")], "doc_id string, text string"))
+    assert sorted((str(r["doc_id"]), r["n_chars"]) for r in named.collect()) == [("None", 1), ("a", 1), ("b", 1)]
+
+
+def test_likeness_holds_for_any_sizes():
+    # What a larger set shares with a small part of it shows at the larger one's level, whatever lies between.
+    rnd, seen = np.random.default_rng(8), []
+    for _ in range(200):
+        a = np.unique(rnd.integers(0, 2**63, 2000, dtype=np.uint64))
+        x, y = fingerprints.View.of(a, 48), fingerprints.View.of(rnd.choice(a, 60, replace=False), 48)
+        level = fingerprints._level(x.n)
+        own = {(int(w), int(t), int(v)) for w, t, v in zip(y.which, y.top, y.value, strict=True) if t >= level}
+        assert own <= {(int(w), int(t), int(v)) for w, t, v in zip(x.which, x.top, x.value, strict=True)}
+        seen.append(len(own))
+        again, rest = fingerprints.View.unpack(x.pack())
+        assert rest == b"" and again.pack() == x.pack()
+    assert np.mean(seen) > 0.5
 
 
 def test_equal_texts_have_equal_fingerprints():
     lexicon = np.arange(0, 2**40, 2**30, dtype=np.uint64)
     terms = np.unique(np.concatenate([lexicon[::3], np.array([5, 7], dtype=np.uint64)]))
     a, b = fingerprints.fingerprint(terms, lexicon), fingerprints.fingerprint(terms.copy(), lexicon)
-    assert a.text() == b.text() and fingerprints.likeness(a, b) == 1.0
+    assert a.pack() == b.pack() == fingerprints.Fingerprint.unpack(a.pack()).pack() and fingerprints.likeness(a, b) == 1.0
     none = fingerprints.fingerprint(terms[:0], lexicon)
     assert fingerprints.likeness(none, none) == 1.0 and fingerprints.likeness(none, a) == 0.0
-    assert re.fullmatch(r"[0-9:;|a-f-]+", a.text())
