@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 SIGNATURES = [
     ("png", b"\x89PNG\r\n\x1a\n"),
     ("jpeg", b"\xff\xd8\xff"),
-    ("gif", b"GIF87a"),
     ("gif", b"GIF89a"),
 ]
 #: Formats whose files are compressed in themselves.
@@ -26,7 +25,6 @@ NAMES = {"jpg": "jpeg", "jpeg": "jpeg", "pbf": "mvt", "mvt": "mvt", "mlt": "mlt"
 CONTENT_TYPES = {
     "jpeg": "image/jpeg",
     "mvt": "application/x-protobuf",
-    "mlt": "application/vnd.maplibre-tile",
     "png": "image/png",
     "gif": "image/gif",
     "webp": "image/webp",
@@ -36,28 +34,46 @@ CONTENT_TYPES = {
 
 
 def content_type(fmt: Column | str) -> Column:
-    """The content type of a format, also by its other names; null for unknown ones."""
-    known = F.create_map(*[F.lit(x) for name, fmt_ in NAMES.items() for x in (name, CONTENT_TYPES[fmt_])])
+    """The content type of a format, also by its other names; null for "mlt", which has no registered one, and for unknown ones."""
+    known = F.create_map(*[F.lit(x) for name, fmt_ in NAMES.items() if fmt_ in CONTENT_TYPES for x in (name, CONTENT_TYPES[fmt_])])
     return F.try_element_at(known, F.lower(F.col(fmt) if isinstance(fmt, str) else fmt))
 
 
-def is_mlt(data: bytes) -> bool:
-    """Whether the bytes are layers of (length, tag 1, payload), lengths of 7 bits a byte, low ones first."""
-    at, layers = 0, 0
-    while at < len(data):
-        n = shift = 0
+#: What may be wrong with framed layers.
+FRAMING_FAULTS = ("truncated size", "size overflow", "truncated tag", "unexpected tag", "size underflow", "truncated data")
+
+
+def framing_fault(data: bytes, tag: int = 1) -> str | None:
+    """What keeps ``data`` from being layers of (size, tag, payload); None if nothing does.
+
+    A size has 7 bits a byte, high ones first, in at most 8 bytes, and counts its own bytes and the tag.
+    """
+    at = 0
+    while at < len(data) or not data:
+        size, begin = 0, at
         while True:
-            if at >= len(data) or shift > 28:
-                return False
+            if at >= len(data):
+                return "truncated size"
+            if at - begin == 8:
+                return "size overflow"
             byte = data[at]
-            n |= (byte & 0x7F) << shift
-            at, shift = at + 1, shift + 7
+            size, at = (size << 7) | (byte & 0x7F), at + 1
             if not byte & 0x80:
                 break
-        if n < 1 or at + n > len(data) or data[at] != 1:
-            return False
-        at, layers = at + n, layers + 1
-    return layers > 0
+        if at >= len(data):
+            return "truncated tag"
+        if data[at] != tag:
+            return "unexpected tag"
+        if size < at + 1 - begin:
+            return "size underflow"
+        if begin + size > len(data):
+            return "truncated data"
+        at = begin + size
+    return None
+
+
+def is_mlt(data: bytes) -> bool:
+    return framing_fault(data) is None
 
 
 def _is_json(data: bytes) -> bool:
@@ -70,30 +86,38 @@ def _is_json(data: bytes) -> bool:
     return True
 
 
-def _plain_format(data: bytes) -> str | None:
+def _raster_format(data: bytes) -> str | None:
     for name, start in SIGNATURES:
         if data.startswith(start):
             return name
-    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
-        return "webp"
-    if data[4:8] == b"ftyp" and data[8:12] in (b"avif", b"avis"):
-        return "avif"
-    return "mlt" if is_mlt(data) else "json" if _is_json(data) else None
+    return "webp" if data[:4] == b"RIFF" and data[8:12] == b"WEBP" else None
+
+
+def _vector_format(data: bytes) -> str:
+    return "mlt" if is_mlt(data) else "json" if _is_json(data) else "mvt"
 
 
 def detect(data: bytes | None) -> tuple[str, str] | None:
-    """(format, encoding); what nothing else fits is a vector tile. None for no data."""
+    """(format, encoding); what nothing else fits is a vector tile. None for no data.
+
+    Compressed data are of a vector format or JSON, and vector tiles where they can't be unpacked. AVIF is not told by its bytes.
+    """
     if data is None:
         return None
     data = bytes(data)
     for encoding, start, unpack in (("gzip", b"\x1f\x8b", gzip.decompress), ("zlib", b"\x78\x9c", zlib.decompress)):
         if data.startswith(start):
             try:
-                return _plain_format(unpack(data)) or "mvt", encoding
+                return _vector_format(unpack(data)), encoding
             except (OSError, EOFError, zlib.error):
-                pass
-    fmt = _plain_format(data) or "mvt"
-    return fmt, "internal" if fmt in INTERNAL else "uncompressed"
+                return "mvt", encoding
+    raster = _raster_format(data)
+    return (raster, "internal") if raster else (_vector_format(data), "uncompressed")
+
+
+def compression_name(encoding: Column) -> Column:
+    """What an archive's metadata call an encoding; null for uncompressed and internal ones, which go without the key."""
+    return F.when(encoding.isin("gzip", "zlib", "brotli", "zstd"), encoding)
 
 
 @F.pandas_udf(T.StructType([T.StructField("format", T.StringType()), T.StructField("encoding", T.StringType())]))

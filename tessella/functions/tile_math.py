@@ -115,13 +115,26 @@ def tile_pixel(mx, my, z, x, y, extent: int = 4096) -> tuple[Column, Column]:
 
 
 def zoom_precision(z) -> Column:
-    """Decimals of a degree that still tell tile pixels apart."""
-    return F.greatest(F.lit(0), F.ceil(F.log10(side(z).cast("double") * 256 / 360)).cast("int"))
+    """Decimals of a degree that matter at a zoom: those of a tile's width, to the nearest power of ten in half steps."""
+    half = F.log10(F.lit(360.0) / side(z).cast("double")) - 0.5
+    return F.greatest(F.lit(0), -F.ceil(half)).cast("int")
 
 
-def zoom_of_resolution(metres_per_pixel, tile_size: int = 256, absolute: float = 1e-2, relative: float = 1e-2) -> Column:
-    """The first zoom whose resolution is near enough, or null."""
-    near = lambda z: F.abs(_col(metres_per_pixel) - F.lit(EARTH / tile_size) / F.pow(F.lit(2.0), z)) < F.least(F.lit(absolute), F.abs(_col(metres_per_pixel)) * relative)
+def camera(min_lng, min_lat, max_lng, max_lat, width, height, most: float = 20.0, point: float = 14.0) -> Column:
+    """(lng, lat, zoom) that shows a box on ``width`` x ``height`` pixels: the centre, and the zoom at which both sides fit.
+
+    A single point is shown at zoom ``point``; a box without extent along one side is bound by the other.
+    """
+    across, down = _col(max_lng) - _col(min_lng), _col(max_lat) - _col(min_lat)
+    fit = lambda pixels, degrees, whole: F.when(degrees > 0, F.log2(F.lit(whole) * _col(pixels) / (F.lit(256.0) * degrees))).otherwise(F.lit(most))
+    zoom = F.when((across <= 0) & (down <= 0), F.lit(point)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(most), fit(width, across, 360.0), fit(height, down, 180.0))))
+    return F.struct(((_col(min_lng) + _col(max_lng)) / 2).alias("lng"), ((_col(min_lat) + _col(max_lat)) / 2).alias("lat"), zoom.alias("zoom"))
+
+
+def zoom_of_resolution(metres_per_pixel, tile_size: int = 256, absolute: float = 3.0, relative: float = 1e-3) -> Column:
+    """The first zoom whose resolution is within ``absolute`` metres and ``relative`` of its own, or null."""
+    own = lambda z: F.lit(EARTH / tile_size) / F.pow(F.lit(2.0), z)
+    near = lambda z: F.abs(_col(metres_per_pixel) - own(z)) < F.least(F.lit(absolute), own(z) * relative)
     return F.get(F.filter(F.sequence(F.lit(0), F.lit(MAX_ZOOM)), near), F.lit(0))
 
 

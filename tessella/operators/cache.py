@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,34 +42,35 @@ def purge(cache: DataFrame, now: Column | int) -> DataFrame:
 def evict(cache: DataFrame, most_bytes: int) -> DataFrame:
     """What is left when the entries that expire first go until ``most_bytes`` of data remain; entries without expiry go last.
 
-    Bytes are summed a second of expiry first; which second the budget ends in follows from those sums,
-    and only its entries are ordered one by one. Seconds are few beside entries.
+    Bytes are summed a second of expiry first; which second the budget ends in follows from those sums.
+    Its entries, maybe all that have no expiry, are summed by zoom and then by column in the same way, so
+    only one column's entries are ordered one by one.
     """
     size = F.octet_length("tile_data").cast("long")
-    order = F.coalesce("expires", F.lit((1 << 63) - 1))
-    sums = cache.groupBy(order.alias("second")).agg(F.sum(size).alias("bytes"))
-    # From the last second back, what is kept with each; ordered in ranges, so no window spans all rows.
-    later = _suffix_sums(sums)
-    kept = cache.withColumn("second", order).join(later, "second")
-    whole = kept.filter((F.col("after") + F.col("bytes")) <= most_bytes)
-    edge = kept.filter((F.col("after") < most_bytes) & (F.col("after") + F.col("bytes") > most_bytes))
-    w = Window.partitionBy("second").orderBy(*[F.desc(k) for k in KEY]).rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("held", F.sum(size).over(w) + F.col("after")).filter(F.col("held") <= most_bytes)
-    return whole.select(*COLUMNS).unionByName(edge.select(*COLUMNS))
+    rows = cache.select(*COLUMNS, F.coalesce("expires", F.lit((1 << 63) - 1)).alias("second"), size.alias("size"), F.lit(0).cast("long").alias("beyond"))
+    out = []
+    for by in ("second", "z", "x"):
+        later = _suffix_sums(rows.groupBy(F.col(by).cast("long").alias("at")).agg(F.sum("size").alias("bytes")))
+        placed = rows.join(later.withColumnRenamed("at", by), by).withColumn("beyond", F.col("beyond") + F.col("after"))
+        out.append(placed.filter(F.col("beyond") + F.col("bytes") <= most_bytes).select(*COLUMNS))
+        rows = placed.filter((F.col("beyond") < most_bytes) & (F.col("beyond") + F.col("bytes") > most_bytes)).drop("bytes", "after")
+    w = Window.partitionBy("second", "z", "x").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, 0)
+    out.append(rows.withColumn("held", F.sum("size").over(w) + F.col("beyond")).filter(F.col("held") <= most_bytes).select(*COLUMNS))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _suffix_sums(sums: DataFrame, width: int = 1 << 12) -> DataFrame:
-    """second, bytes and ``after``: the bytes of all later seconds, by blocks of seconds, then blocks of those."""
-    low = sums.withColumn("b1", F.expr(f"second div {width}")).withColumn("b2", F.expr(f"second div {width * width}"))
+    """at, bytes and ``after``: the bytes of all higher ``at``, by blocks of these, then blocks of blocks."""
+    low = sums.withColumn("b1", F.expr(f"at div {width}")).withColumn("b2", F.expr(f"at div {width * width}"))
 
     def after(df: DataFrame, part: list[str], by: str, value: str, name: str) -> DataFrame:
         w = Window.partitionBy(*part).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
-    one = after(low, ["b1"], "second", "bytes", "a1")
+    one = after(low, ["b1"], "at", "bytes", "a1")
     mid = after(low.groupBy("b2", "b1").agg(F.sum("bytes").alias("s1")), ["b2"], "b1", "s1", "a2").select("b1", "a2")
     top = low.groupBy("b2").agg(F.sum("bytes").alias("s2"))
-    # Blocks of 2^24 seconds: a few dozen in a century, and one for no expiry.
+    # Blocks of 2^24 seconds or columns: a few dozen, and one for no expiry.
     top = after(top.withColumn("all", F.lit(1)), ["all"], "b2", "s2", "a3").select("b2", "a3")
     joined = one.join(mid, "b1").join(F.broadcast(top), "b2")
-    return joined.select("second", "bytes", (F.col("a1") + F.col("a2") + F.col("a3")).alias("after"))
+    return joined.select("at", "bytes", (F.col("a1") + F.col("a2") + F.col("a3")).alias("after"))

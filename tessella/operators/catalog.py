@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,13 +48,13 @@ def tile_functions(args: DataFrame) -> DataFrame:
 
 
 class IdResolver:
-    """Ids for sources: illegal characters become dots' neighbours, clashes get ".1", ".2"; the same unique name keeps its id."""
+    """Ids for sources: illegal characters become "-", clashes get ".1", ".2"; the same unique name keeps its id."""
 
     def __init__(self, reserved: set[str] | None = None):
         self.reserved, self.ids = set(reserved or ()), {}
 
     def resolve(self, name: str, unique: str) -> str:
-        clean = re.sub(r"[^A-Za-z0-9_.-]", "_", name) or "_"
+        clean = re.sub(r"[^A-Za-z0-9_.-]", "-", name) or "_"
         if clean not in self.reserved and self.ids.setdefault(clean, unique) == unique:
             return clean
         k = 1
@@ -63,6 +63,68 @@ class IdResolver:
         return f"{clean}.{k}"
 
 
+def clean_id(name: Column) -> Column:
+    """A name with the characters that ids may have; others become "-"."""
+    return F.regexp_replace(name, r"[^A-Za-z0-9_.-]", "-")
+
+
+def quote_identifier(name: Column, mark: str = '"') -> Column:
+    """A name in quotes, those within it doubled."""
+    return F.concat(F.lit(mark), F.replace(name, F.lit(mark), F.lit(mark * 2)), F.lit(mark))
+
+
+def quote_relation(name: Column) -> Column:
+    """A relation's name, each of its dotted parts quoted."""
+    return F.array_join(F.transform(F.split(name, r"\."), lambda part: quote_identifier(part)), ".")
+
+
+def fill_template(template: str, **values: Column) -> Column:
+    """``template`` with each "{name}" replaced by its value; others stay. Values are not looked through again."""
+    parts = re.split(r"\{(\w+)\}", template)
+    made = [F.lit(p) if k % 2 == 0 else values[p].cast("string") if p in values else F.lit(f"{{{p}}}") for k, p in enumerate(parts)]
+    return F.concat(*made)
+
+
+def hex_128(text: Column) -> Column:
+    """16 bytes of 32 hexadecimal digits; null for anything else."""
+    return F.when(text.rlike("^[0-9A-Fa-f]{32}$"), F.unhex(text))
+
+
+def mirror(z: Column, x: Column, y: Column, n: int) -> Column:
+    """Which of ``n`` mirrors serves a tile: always the same one."""
+    return F.pmod(F.xxhash64(z, x, y), F.lit(n)).cast("int")
+
+
+def fingerprint(sources: DataFrame, *ignored: str) -> DataFrame:
+    """(id, version): a digest over all fields of a source but ``ignored``, whatever their order in the table."""
+    fields = sorted(c for c in sources.columns if c not in ("id", *ignored))
+    return sources.select("id", F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256).alias("version"))
+
+
+def resolve_srid(found: Column, configured: Column, default: Column) -> Column:
+    """The reference system of a geometry column: what the table says (0: nothing), else the configuration, else the default.
+
+    Null, so that the source is skipped, where table and configuration disagree or none says anything.
+    """
+    given = F.when(found != 0, found)
+    return F.when(given.isNotNull() & configured.isNotNull() & (given != configured), F.lit(None).cast("int")).otherwise(F.coalesce(given, configured, default))
+
+
+def id_column(columns: DataFrame, wanted: list[str]) -> DataFrame:
+    """(schema, table, id_column): the first of ``wanted`` that a table has as a whole number; an exact name goes before one that differs in case."""
+    listed = columns.filter(F.col("type").isin("int2", "int4", "int8", "smallint", "integer", "bigint"))
+    names = columns.sparkSession.createDataFrame([(k, n, n.lower()) for k, n in enumerate(wanted)], "rank int, wanted string, low string")
+    joined = listed.join(F.broadcast(names), F.lower("column") == F.col("low"))  # as many as wanted
+    best = F.min_by("column", F.struct("rank", (F.col("column") != F.col("wanted")).alias("case"), "column"))
+    return joined.groupBy("schema", "table").agg(best.alias("id_column"))
+
+
+def published(snapshot: DataFrame, actions: DataFrame) -> DataFrame:
+    """``actions`` with their place in the order of publication: updates, then additions, then removals, each by name."""
+    order = F.when(F.col("action") == "update", 0).when(F.col("action") == "add", 1).otherwise(2)
+    return actions.join(snapshot.select("id", "name"), "id", "left").select("id", "action", F.struct(order.alias("step"), F.coalesce("name", F.col("id").cast("string")).alias("name")).alias("place"))
+
+
 def find_name(wanted: str, names: list[str]) -> str:
     """An exact name, or the only one that differs in case alone."""
     if wanted in names:

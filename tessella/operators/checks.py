@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import codecs
 from tessella.functions import tile_math as tm
 
-from .tileset import KEY, md5_hex
+from .tileset import AGG_HASH, KEY, md5_hex, upsert_metadata
 
-#: Bytes of data of which the exact content hash may be taken; it needs all rows in order, in one task.
-HASH_BYTES = 1 << 30
+#: Bytes of keys and data of which the exact content hash may be taken; it needs all rows in order, in one task, as one
+#: text of two digits a byte, and a text holds 2 GiB.
+HASH_BYTES = 1 << 28
 
 
 def summary(tiles: DataFrame) -> DataFrame:
@@ -53,7 +55,8 @@ def agg_tiles_hash(tiles: DataFrame, most: int = HASH_BYTES) -> DataFrame:
     The digest is one chain over all bytes, so it can't be split; tilesets of more than ``most`` bytes are
     refused, and ``tree_hash`` is for those.
     """
-    held = tiles.agg(F.coalesce(F.sum(F.octet_length("tile_data")), F.lit(0))).first()[0]
+    # A row's key is 25 digits at most, its three numbers and lengths beside it 40 bytes.
+    held = tiles.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("tile_data"), F.lit(0)) + 65), F.lit(0))).first()[0]
     if held > most:
         raise ValueError(f"{held} bytes are too many for one digest; tree_hash takes any number")
     row = F.concat(F.encode(F.concat("z", "x", "y"), "utf-8"), F.coalesce("tile_data", F.lit(b"")))
@@ -63,15 +66,56 @@ def agg_tiles_hash(tiles: DataFrame, most: int = HASH_BYTES) -> DataFrame:
 
 
 def tree_hash(tiles: DataFrame, block: int = 8) -> DataFrame:
-    """z, n_blocks and hash a zoom: MD5 of the digests of blocks of 2^block columns and rows, in order.
+    """z, n_blocks and hash a zoom: digests of blocks of 2^block columns and rows, of blocks of these, and so on, in order.
 
     Blocks are hashed where the shuffle brings them together, and digests alone go on. A block has 4^block
-    tiles at the most.
+    members at the most on every level, so no task holds more; n_blocks counts the lowest ones.
     """
     keyed = tiles.select(*KEY, F.expr(f"x >> {block}").alias("bx"), F.expr(f"y >> {block}").alias("by"), F.concat_ws(":", "x", "y", F.coalesce(F.md5("tile_data"), F.lit("-"))).alias("item"))
     blocks = keyed.groupBy("z", "bx", "by").agg(F.md5(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "item"))), lambda r: r["item"]))).alias("digest"))
+    blocks = blocks.withColumn("n", F.lit(1).cast("long"))
     rows = F.array_sort(F.collect_list(F.struct("bx", "by", "digest")))
-    return blocks.groupBy("z").agg(F.count("*").alias("n_blocks"), F.upper(F.md5(F.concat_ws(",", F.transform(rows, lambda r: r["digest"])))).alias("hash"))
+    for _ in range(block, tm.MAX_ZOOM, block):  # until one block is left, whatever the zoom
+        up = blocks.select("z", F.col("bx"), F.col("by"), "digest", "n", F.expr(f"bx >> {block}").alias("ux"), F.expr(f"by >> {block}").alias("uy"))
+        blocks = up.groupBy("z", "ux", "uy").agg(F.sum("n").alias("n"), F.md5(F.concat_ws(",", F.transform(rows, lambda r: r["digest"]))).alias("digest")).select("z", F.col("ux").alias("bx"), F.col("uy").alias("by"), "digest", "n")
+    return blocks.select("z", F.col("n").alias("n_blocks"), F.upper("digest").alias("hash"))
+
+
+def verify_hash(stored: str | None, found: str) -> None:
+    """Raises where the stored content hash is missing, is none of this kind, or is not the tiles' own."""
+    if not stored:
+        raise ValueError("the metadata hold no content hash")
+    if len(stored) != 32 or set(stored) - set("0123456789ABCDEF"):
+        raise ValueError(f"{stored!r} is no content hash of a known kind")
+    if stored != found:
+        raise ValueError(f"the content hash is {found}, the metadata say {stored}")
+
+
+def validate(tiles: DataFrame, metadata: DataFrame, hashing: str = "verify") -> DataFrame:
+    """Checks tiles and their content hash, and returns the metadata as they then should be; faults raise.
+
+    ``hashing`` "verify" compares the stored content hash, "update" sets it where it differs, "off" leaves it.
+    """
+    faults = [f"{r['check']}: {r['n']}" for r in violations(tiles).filter("n > 0").collect()]  # a row a check
+    if faults:
+        raise ValueError("; ".join(sorted(faults)))
+    if hashing == "off":
+        return metadata
+    found = agg_tiles_hash(tiles).first()[0]
+    row = metadata.filter(F.col("name") == AGG_HASH).select("value").first()
+    stored = row[0] if row else None
+    if hashing == "verify":
+        verify_hash(stored, found)
+        return metadata
+    if hashing == "update":
+        return metadata if stored == found else upsert_metadata(metadata, {AGG_HASH: found})
+    raise ValueError(f"unknown way {hashing}")
+
+
+def compression_key(tiles: DataFrame, metadata: DataFrame, detect) -> DataFrame:
+    """``metadata`` with the key "compression" as a sample tile has it; gone where tiles have none. Without tiles, as it is."""
+    row = tiles.filter("tile_data is not null").limit(1).select(codecs.compression_name(detect(F.col("tile_data"))["encoding"])).first()
+    return metadata if row is None else upsert_metadata(metadata, {"compression": row[0]})
 
 
 def duplicate_keys(tiles: DataFrame) -> DataFrame:

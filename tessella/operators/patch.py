@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tileset import AFTER, AGG_HASH, BEFORE, KEY, md5_hex
+from . import checks
+from .tileset import AFTER, AGG_HASH, BEFORE, KEY, md5_hex, upsert_metadata
 
 _HASH_NAMES = (AGG_HASH, BEFORE, AFTER)
 
@@ -52,6 +53,37 @@ def patched_metadata(metadata: DataFrame) -> DataFrame:
     return kept.select(F.when(F.col("name") == AFTER, AGG_HASH).otherwise(F.col("name")).alias("name"), "value")
 
 
+def _stored(metadata: DataFrame, name: str) -> str | None:
+    row = metadata.filter(F.col("name") == name).select("value").first()
+    return row[0] if row else None
+
+
+def diff_tilesets(src: DataFrame, src_meta: DataFrame, dst: DataFrame, dst_meta: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The patch from src to dst and its metadata, which name the content hashes before and after.
+
+    Raises unless forced where either side is a patch itself or holds no content hash.
+    """
+    for which, metadata in (("source", src_meta), ("target", dst_meta)):
+        if not force and (_stored(metadata, BEFORE) or _stored(metadata, AFTER)):
+            raise ValueError(f"the {which} is a patch, not a tileset")
+        if not force and not _stored(metadata, AGG_HASH):
+            raise ValueError(f"the {which} holds no content hash")
+    made = {BEFORE: _stored(src_meta, AGG_HASH), AFTER: _stored(dst_meta, AGG_HASH)}
+    return diff(src, dst).select(*KEY, "tile_data"), upsert_metadata(diff_metadata(src_meta, dst_meta), made)
+
+
+def apply_tileset(src: DataFrame, src_meta: DataFrame, patch: DataFrame, patch_meta: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``src`` and its metadata under a patch; raises unless forced where the hashes before or after don't fit."""
+    if not force and _stored(src_meta, BEFORE):
+        raise ValueError("a patch can't be applied to a patch")
+    before, after = _stored(patch_meta, BEFORE), _stored(patch_meta, AFTER)
+    check_patch(before, after, _stored(src_meta, AGG_HASH), force)
+    made = apply(src, patch)
+    if not force:
+        checks.verify_hash(after, checks.agg_tiles_hash(made).first()[0])
+    return made, upsert_metadata(apply_metadata(src_meta, patch_meta), {AGG_HASH: after})
+
+
 def drop_orphans(images: DataFrame, map_: DataFrame) -> DataFrame:
     """Images that some map row uses."""
     return images.join(map_.select("tile_id"), "tile_id", "left_semi")

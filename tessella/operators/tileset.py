@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import tile_math as tm
@@ -92,7 +92,11 @@ def to_layout(rows: DataFrame, layout: str, metadata: DataFrame | None = None) -
     if layout == "flat_with_hash":
         digest = F.col("tile_hash") if "tile_hash" in rows.columns else md5_hex("tile_data")
         return Tileset(layout, {"tiles_with_hash": rows.select(*KEY, "tile_data", digest.alias("tile_hash"))}, metadata)
-    if layout in ("normalized", "dedup_id"):  # integer ids are read, never written
+    if layout == "dedup_id":
+        ids = dedup_ids(rows)
+        shallow = rows.withColumn("__hash", md5_hex("tile_data")).join(ids.select(F.col("tile_hash").alias("__hash"), "tile_data_id"), "__hash", "left")
+        return Tileset(layout, {"tiles_shallow": shallow.select(*KEY, "tile_data_id"), "tiles_data": ids.select("tile_data_id", "tile_data")}, metadata)
+    if layout == "normalized":
         digest = F.col("tile_hash") if "tile_hash" in rows.columns else md5_hex("tile_data")
         with_id = rows.withColumn("tile_id", digest)
         images = with_id.filter("tile_data is not null").select("tile_id", "tile_data").dropDuplicates(["tile_id"])
@@ -103,6 +107,25 @@ def to_layout(rows: DataFrame, layout: str, metadata: DataFrame | None = None) -
     raise ValueError(f"unknown layout {layout}")
 
 
+def dedup_ids(rows: DataFrame) -> DataFrame:
+    """(tile_hash, tile_data, tile_data_id): each distinct blob with a number from 1, in the order of the hashes.
+
+    Hashes are counted by their first three digits, so a number follows from the counts of 4096 ranges and a place
+    within one; no task orders all.
+    """
+    blobs = rows.filter("tile_data is not null").withColumn("tile_hash", md5_hex("tile_data")).dropDuplicates(["tile_hash"]).select("tile_hash", "tile_data")
+    blobs = blobs.withColumn("range", F.substring("tile_hash", 1, 3))
+    counts = blobs.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 4096 rows at most
+    place = F.row_number().over(Window.partitionBy("range").orderBy("tile_hash"))
+    return blobs.withColumn("place", place).join(F.broadcast(before), "range").select("tile_hash", "tile_data", (F.col("before") + F.col("place")).cast("long").alias("tile_data_id"))
+
+
+def remap_ids(map_: DataFrame, ids: DataFrame) -> DataFrame:
+    """``map_`` with its ids replaced by new ones: ``ids`` has tile_id and new_id."""
+    return map_.join(ids.select(F.col("tile_id").cast("string").alias("old_id"), "new_id"), F.col("tile_id").cast("string") == F.col("old_id")).select(*KEY, F.col("new_id").alias("tile_id"))
+
+
 def where(
     zooms: list[int] | None = None, min_zoom: int | None = None, max_zoom: int | None = None, boxes: list[tuple[float, float, float, float]] | None = None
 ) -> Column:
@@ -140,16 +163,23 @@ def copy(src: Tileset, layout: str | None = None, what: str = "all", **filters)
 
 
 def merge(dst: DataFrame, src: DataFrame, on_duplicate: str = "override") -> DataFrame:
-    """``dst`` and ``src`` as one table: "override" lets src win, "ignore" dst, "abort" raises where data differ."""
+    """``dst`` and ``src`` as one table: "override" lets src win, "ignore" dst, "abort" raises on any key that both have.
+
+    Without a policy ("default") an empty ``dst`` is overridden, and any other raises.
+    """
+    if on_duplicate == "default":
+        if not dst.isEmpty():
+            raise ValueError("the target holds tiles; say what becomes of those that both have")
+        on_duplicate = "override"
     if on_duplicate == "override":
         return dst.join(src.select(*KEY), KEY, "left_anti").unionByName(src)
     if on_duplicate == "ignore":
         return dst.unionByName(src.join(dst.select(*KEY), KEY, "left_anti"))
     if on_duplicate == "abort":
-        clash = conflicts(dst, src).limit(1).collect()
+        clash = src.join(dst.select(*KEY), KEY, "left_semi").select(*KEY).limit(1).collect()
         if clash:
-            raise ValueError(f"tile {tuple(clash[0])[:3]} is there with other data")
-        return dst.unionByName(src.join(dst.select(*KEY), KEY, "left_anti"))
+            raise ValueError(f"tile {tuple(clash[0])} is there already")
+        return dst.unionByName(src)
     raise ValueError(f"unknown policy {on_duplicate}")
 
 

@@ -39,10 +39,13 @@ def transcode(tiles: DataFrame, change: Callable[[bytes], bytes]) -> DataFrame:
 
 
 def transcode_stats(before: DataFrame, after: DataFrame) -> DataFrame:
-    """tiles_written, cache_encoded (distinct blobs encoded) and cache_hits (tiles that used one again)."""
-    written = after.agg(F.count("*").alias("tiles_written"))
-    blobs = before.filter("tile_data is not null").agg(F.countDistinct("tile_hash").alias("cache_encoded"))
-    return written.crossJoin(blobs).select("tiles_written", "cache_encoded", (F.col("tiles_written") - F.col("cache_encoded")).alias("cache_hits"))
+    """tiles_written, cache_encoded (distinct blobs that were encoded) and cache_hits (tiles that used one again).
+
+    Blobs that could not be changed are in neither; ``after`` is what ``transcode`` gave for ``before``.
+    """
+    done = before.filter("tile_data is not null").select(*KEY, F.col("tile_hash").alias("blob")).join(after.select(*KEY), KEY)
+    counted = done.agg(F.count("*").alias("tiles_written"), F.countDistinct("blob").alias("cache_encoded"))
+    return counted.select("tiles_written", "cache_encoded", (F.col("tiles_written") - F.col("cache_encoded")).alias("cache_hits"))
 
 
 def _pack(old: bytes, new: bytes) -> bytes:
@@ -77,6 +80,28 @@ def binary_diff(src: DataFrame, dst: DataFrame, encoding: str = "uncompressed")
     return pairs.select(*KEY, "old", "new").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in KEY) + ", patch_data binary, xxh3 bigint")
 
 
+def patch_type(schemas: dict[str, list[str]]) -> str | None:
+    """Which binary patches an archive holds, by its tables' columns: "raw", "gzip" or None."""
+    needed = {"zoom_level", "tile_column", "tile_row", "patch_data", "tile_xxh3_64_hash"}
+    for name, kind in (("bsdiffraw", "raw"), ("bsdiffrawgz", "gzip")):
+        if needed <= set(schemas.get(name, ())):
+            return kind
+    return None
+
+
+def without_patched(tiles: DataFrame, patches: DataFrame) -> DataFrame:
+    """Tiles that no binary patch makes."""
+    return tiles.join(patches.select(*KEY), KEY, "left_anti")
+
+
+def patched(src: DataFrame, plain: DataFrame, patches: DataFrame, encoding: str = "uncompressed") -> DataFrame:
+    """``src`` under a patch of both kinds: ``plain`` tiles put in or taken out (null), ``patches`` applied, the rest as it is."""
+    made = binary_apply(src, patches, encoding)
+    touched = plain.select(*KEY).union(patches.select(*KEY)).distinct()
+    rest = src.select(*KEY, "tile_data").join(touched, KEY, "left_anti")
+    return rest.unionByName(without_patched(plain, patches).filter("tile_data is not null").select(*KEY, "tile_data")).unionByName(made)
+
+
 def binary_apply(src: DataFrame, patches: DataFrame, encoding: str = "uncompressed") -> DataFrame:
     """Patched tiles (key, tile_data); a result whose checksum is not the patch's fails the job."""
 

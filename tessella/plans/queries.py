@@ -66,7 +66,7 @@ def agg_tiles_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(SQL_TILES + """, b AS (SELECT z, x >> 8 AS kx, y >> 8 AS ky, md5(string_agg(x || ':' || y || ':' || md5(d), ',' ORDER BY x, y)) AS h FROM v1 GROUP BY ALL)
-SELECT z, count(*) AS n_blocks, upper(md5(string_agg(h, ',' ORDER BY kx, ky))) AS hash FROM b GROUP BY z""")
+SELECT z, count(*) AS n_blocks, upper(md5(md5(md5(string_agg(h, ',' ORDER BY kx, ky))))) AS hash FROM b GROUP BY z""")
 def tree_hash(spark: SparkSession, sf: str) -> DataFrame:
     return checks.tree_hash(tables.tiles(spark, sf))
 
@@ -166,12 +166,13 @@ def apply_patch(spark: SparkSession, sf: str) -> DataFrame:
     return patch.apply(v1, patch.diff(v1, tables.tiles_v2(spark, sf))).select(*KEY, _text(), "tile_hash")
 
 
-@query(SQL_TILES + "SELECT count(*) AS n FROM v2 WHERE false")
+@query(SQL_TILES + "(SELECT z, x, y, d AS tile_data, 'gone' AS side FROM (FROM v1 EXCEPT ALL FROM v2)) UNION ALL (SELECT z, x, y, d, 'come' FROM (FROM v2 EXCEPT ALL FROM v1))")
 def patched_except(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the patched tileset that the second version lacks, and the other way round: none."""
+    """Rows that the first version has over the patched tileset, and the other way round."""
     v1, v2 = tables.tiles(spark, sf), tables.tiles_v2(spark, sf)
     done = patch.apply(v1, patch.diff(v1, v2)).select(*KEY, "tile_data")
-    return done.exceptAll(v2).union(v2.exceptAll(done)).agg(F.count("*").alias("n"))
+    gone, come = v1.select(*KEY, "tile_data").exceptAll(done), done.exceptAll(v1.select(*KEY, "tile_data"))
+    return gone.withColumn("side", F.lit("gone")).union(come.withColumn("side", F.lit("come"))).select(*KEY, _text(), "side")
 
 
 @query(SQL_METADATA + """SELECT coalesce(m1.name, m2.name) AS name, m2.value AS value FROM m1 FULL JOIN m2 ON m1.name = m2.name
@@ -480,3 +481,169 @@ def resolution_zooms(spark: SparkSession, sf: str) -> DataFrame:
     """Raster levels by resolution: metres a pixel find their zoom."""
     p = tables.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 31).alias("level")).filter("level < 20")
     return p.select("id", tm.zoom_of_resolution(F.lit(tm.EARTH / 256) / F.pow(F.lit(2.0), F.col("level")), absolute=1.0).alias("zoom"))
+
+
+# --- checks that verify, patches with hashes ---
+
+
+@query(SQL_TILES + "SELECT 'agg_tiles_hash' AS name, upper(md5(string_agg(z || '' || x || '' || y || d, '' ORDER BY z, x, y))) AS value FROM v1 UNION ALL SELECT 'n_name', max(n_name) FROM nation")
+def hash_updated(spark: SparkSession, sf: str) -> DataFrame:
+    """Metadata with the content hash set, and then verified against the tiles."""
+    rows = tables.tiles(spark, sf)
+    named = tables.read(spark, sf, "nation").agg(F.max("n_name").alias("value")).select(F.lit("n_name").alias("name"), "value")
+    done = checks.validate(rows, named, "update")
+    return checks.validate(rows, done, "verify")
+
+
+@query(SQL_TILES + "SELECT z, x, y, d AS tile_data FROM v2")
+def patch_with_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """A patch that names the hashes before and after, applied where both fit."""
+    v1, v2 = tables.tiles(spark, sf), tables.tiles_v2(spark, sf)
+    metas = [checks.validate(v, tables.metadata(spark, sf, k), "update") for k, v in ((1, v1), (2, v2))]
+    made, meta_ = patch.diff_tilesets(v1, metas[0], v2, metas[1])
+    return patch.apply_tileset(v1, metas[0], made, meta_)[0].select(*KEY, _text())
+
+
+@query(SQL_TILES + "SELECT z, x, y, d AS tile_data FROM v2")
+def patch_of_both_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Changed tiles as binary patches, the others of the patch as they are."""
+    v1, v2 = tables.tiles(spark, sf), tables.tiles_v2(spark, sf)
+    return transcode.patched(v1, patch.diff(v1, v2).select(*KEY, "tile_data"), transcode.binary_diff(v1, v2)).select(*KEY, _text())
+
+
+@query(SQL_TILES + """, p AS (SELECT coalesce(a.z, b.z) AS z, coalesce(a.x, b.x) AS x, coalesce(a.y, b.y) AS y, b.d AS d FROM v1 a FULL JOIN v2 b ON a.z = b.z AND a.x = b.x AND a.y = b.y
+WHERE a.d IS NULL OR b.d IS NULL OR a.d <> b.d) SELECT z, x, y, d AS tile_data FROM p WHERE NOT EXISTS (SELECT 1 FROM v1 a WHERE a.z = p.z AND a.x = p.x AND a.y = p.y AND p.d IS NOT NULL)""")
+def plain_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of a patch that no binary patch makes."""
+    v1, v2 = tables.tiles(spark, sf), tables.tiles_v2(spark, sf)
+    return transcode.without_patched(patch.diff(v1, v2).select(*KEY, "tile_data"), transcode.binary_diff(v1, v2)).select(*KEY, _text())
+
+
+@query(SQL_TILES + """, g AS (SELECT upper(md5(d)) AS h FROM v1 GROUP BY d), n AS (SELECT h, row_number() OVER (ORDER BY h) AS id FROM g)
+SELECT z, x, y, id AS tile_data_id FROM v1 JOIN n ON n.h = upper(md5(v1.d))""")
+def dedup_ids_written(spark: SparkSession, sf: str) -> DataFrame:
+    return tileset.to_layout(tables.tiles(spark, sf), "dedup_id").tables["tiles_shallow"]
+
+
+@query(SQL_TILES + ", g AS (SELECT upper(md5(d)) AS h FROM v1 GROUP BY d), n AS (SELECT h, row_number() OVER (ORDER BY h) AS id FROM g) SELECT z, x, y, id AS tile_id FROM v1 JOIN n ON n.h = upper(md5(v1.d))")
+def ids_remapped(spark: SparkSession, sf: str) -> DataFrame:
+    rows = tables.tiles(spark, sf)
+    ids = tileset.dedup_ids(rows).select(F.col("tile_hash").alias("tile_id"), F.col("tile_data_id").alias("new_id"))
+    return tileset.remap_ids(tileset.to_layout(rows, "normalized").tables["map"], ids)
+
+
+@query(SQL_TILES + "SELECT count(*) FILTER (d NOT LIKE '%/F') AS tiles_written, count(DISTINCT d) FILTER (d NOT LIKE '%/F') AS cache_encoded, count(*) FILTER (d NOT LIKE '%/F') - count(DISTINCT d) FILTER (d NOT LIKE '%/F') AS cache_hits FROM v1")
+def transcode_failures_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics where some blobs can't be changed."""
+
+    def fail(data: bytes) -> bytes:
+        if data.endswith(b"/F"):
+            raise ValueError("not this one")
+        return data + b"!"
+
+    rows = tables.tiles(spark, sf).withColumn("tile_hash", tileset.md5_hex("tile_data"))
+    return transcode.transcode_stats(rows, transcode.transcode(rows, fail))
+
+
+@query(SQL_TILES + "SELECT z, max(CASE WHEN z % 3 = 0 THEN 'gzip' WHEN z % 3 = 1 THEN 'zlib' END) AS compression FROM v1 GROUP BY z")
+def compressions(spark: SparkSession, sf: str) -> DataFrame:
+    """What metadata would call the compression of each zoom's tiles, by their bytes."""
+    rows = tables.tiles(spark, sf).withColumn("tile_data", F.concat(F.lit(b"\x1a\x05"), "tile_data"))
+    packed = F.when(F.col("z") % 3 == 0, codecs.recode("tile_data", "uncompressed", "gzip")).when(F.col("z") % 3 == 1, codecs.recode("tile_data", "uncompressed", "zlib")).otherwise(F.col("tile_data"))
+    named = rows.select("z", codecs.compression_name(codecs.detect_format(packed)["encoding"]).alias("compression"))
+    return named.groupBy("z").agg(F.max("compression").alias("compression"))
+
+
+# --- tile math: precision, cameras, resolutions ---
+
+
+@query("SELECT o_orderkey % 31 AS zoom, CASE WHEN o_orderkey % 31 < 11 THEN 0 WHEN o_orderkey % 31 < 14 THEN 1 WHEN o_orderkey % 31 < 17 THEN 2 WHEN o_orderkey % 31 < 21 THEN 3 WHEN o_orderkey % 31 < 24 THEN 4 WHEN o_orderkey % 31 < 27 THEN 5 ELSE 6 END AS digits, count(*) AS n FROM orders GROUP BY ALL")
+def zoom_precisions(spark: SparkSession, sf: str) -> DataFrame:
+    zoom = (F.col("o_orderkey") % 31).cast("int")
+    return tables.read(spark, sf, "orders").groupBy((F.col("o_orderkey") % 31).alias("zoom"), tm.zoom_precision(zoom).alias("digits")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS id, {tm.EARTH!r} / 256 / pow(2, c_custkey % 20) * (1 + (c_custkey % 41 - 20) * 1e-4) AS m FROM customer)
+SELECT id, (SELECT min(z) FROM range(0, 31) t(z) WHERE abs(m - {tm.EARTH!r} / 256 / pow(2, z)) < least(3.0, {tm.EARTH!r} / 256 / pow(2, z) * 1e-3)) AS zoom FROM r""")
+def zooms_of_resolutions(spark: SparkSession, sf: str) -> DataFrame:
+    """Resolutions near those of zooms, within the tolerance and beyond it."""
+    key = F.col("c_custkey")
+    metres = F.lit(tm.EARTH / 256) / F.pow(F.lit(2.0), key % 20) * (1 + (key % 41 - 20) * F.lit(1e-4))
+    return tables.read(spark, sf, "customer").select(key.alias("id"), tm.zoom_of_resolution(metres).cast("long").alias("zoom"))
+
+
+_BOX_OF = "(c_custkey * 37 % 3000 - 1500) / 10.0 AS w, (c_custkey * 53 % 1400 - 700) / 10.0 AS s, (c_custkey % 5) * 3.5 AS dx, (c_custkey % 3) * 2.5 AS dy"
+
+
+@query(f"""WITH b AS (SELECT c_custkey AS id, {_BOX_OF} FROM customer)
+SELECT id, round((w + w + dx) / 2, 6) AS lng, round((s + s + dy) / 2, 6) AS lat, round(CASE WHEN dx = 0 AND dy = 0 THEN 14.0 ELSE greatest(0.0, least(20.0,
+CASE WHEN dx > 0 THEN log2(360.0 * 800 / (256 * dx)) ELSE 20.0 END, CASE WHEN dy > 0 THEN log2(180.0 * 600 / (256 * dy)) ELSE 20.0 END)) END, 6) AS zoom FROM b""")
+def cameras(spark: SparkSession, sf: str) -> DataFrame:
+    c = tables.read(spark, sf, "customer").selectExpr("c_custkey AS id", *[x.strip() for x in _BOX_OF.split(", ")])
+    num = lambda name: F.col(name).cast("double")
+    seen = c.select("id", tm.camera(num("w"), num("s"), num("w") + num("dx"), num("s") + num("dy"), F.lit(800.0), F.lit(600.0)).alias("c"))
+    return seen.select("id", *[F.round(f"c.{k}", 6).alias(k) for k in ("lng", "lat", "zoom")])
+
+
+# --- catalog helpers ---
+
+
+@query("""SELECT p_partkey AS id, regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9_.-]', '-', 'g') AS clean, '"' || replace(p_type || '"x', '"', '""') || '"' AS quoted,
+'/' || p_partkey || '/' || p_size || '/{y}' AS url, '"' || array_to_string(string_split(p_brand || '.t', '.'), '"."') || '"' AS relation FROM part""")
+def names_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    p = tables.read(spark, sf, "part")
+    return p.select(
+        F.col("p_partkey").alias("id"), catalog.clean_id(F.concat_ws(" ", "p_name", "p_brand")).alias("clean"), catalog.quote_identifier(F.concat("p_type", F.lit('"x'))).alias("quoted"),
+        catalog.fill_template("/{z}/{x}/{y}", z=F.col("p_partkey"), x=F.col("p_size")).alias("url"), catalog.quote_relation(F.concat("p_brand", F.lit(".t"))).alias("relation"),
+    )
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN upper(md5(s_name)) END AS digits FROM supplier")
+def hex_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of 32 hexadecimal digits as 16 bytes, others as null."""
+    text = F.when(F.col("s_suppkey") % 2 == 0, F.md5("s_name")).otherwise(F.col("s_name"))
+    return tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.hex(catalog.hex_128(text)).alias("digits"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 4 <> c_custkey % 3 THEN NULL
+ELSE coalesce(nullif(c_custkey % 4, 0), nullif(c_custkey % 3, 0), CASE WHEN c_custkey % 5 = 0 THEN 9 END) END AS srid FROM customer""")
+def srids_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    n = lambda k: (F.col("c_custkey") % k).cast("int")
+    srid = catalog.resolve_srid(n(4), F.nullif(n(3), F.lit(0)), F.when(n(5) == 0, 9))
+    return tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), srid.cast("long").alias("srid"))
+
+
+@query("""WITH c AS (SELECT s_suppkey AS t, k, CASE k WHEN 0 THEN CASE WHEN s_suppkey % 3 = 0 THEN 'GID' ELSE 'name' END WHEN 1 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'feat_id' ELSE 'other' END ELSE 'size' END AS n FROM supplier, range(0, 3) r(k))
+SELECT t AS "table", CASE WHEN max(n = 'GID') THEN 'GID' ELSE 'feat_id' END AS id_column FROM c GROUP BY t HAVING max(n = 'GID') OR max(n = 'feat_id')""")
+def id_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The column that serves as id: the first of "gid", "feat_id" that a table has."""
+    s = tables.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("table"), F.lit("public").alias("schema"))
+    names = F.array(F.when(F.col("table") % 3 == 0, "GID").otherwise("name"), F.when(F.col("table") % 2 == 0, "feat_id").otherwise("other"), F.lit("size"))
+    columns = s.select("schema", "table", F.explode(names).alias("column"), F.lit("int4").alias("type"))
+    return catalog.id_column(columns, ["gid", "feat_id"]).select("table", "id_column")
+
+
+@query("""WITH g AS (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL), f AS (SELECT p_brand, p_size, n FROM g WHERE p_size % 5 <> 0)
+SELECT p_brand AS "schema", p_size AS "table", n > 1 AS indexed, p_size % 2 = 0 AS has_props FROM f""")
+def geometry_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Geometry tables of a catalog whose columns are derived from parts."""
+    g = tables.read(spark, sf, "part").groupBy(F.col("p_brand").alias("schema"), F.col("p_size").alias("table")).agg(F.count("*").alias("n"))
+    kinds = F.array(
+        F.struct(F.lit("geom").alias("column"), F.when(F.col("table") % 5 != 0, "geometry").otherwise("text").alias("type")),
+        F.when(F.col("table") % 2 == 0, F.struct(F.lit("size").alias("column"), F.lit("_int4").alias("type"))),
+    )
+    columns = g.select("schema", "table", F.inline(F.filter(kinds, lambda k: k.isNotNull())))
+    indexes = g.select("schema", "table", F.lit("geom").alias("column"), (F.col("n") > 1).alias("is_spatial"))
+    found = catalog.geometry_tables(columns, indexes)
+    return found.select("schema", "table", "indexed", (F.size("properties") > 0).alias("has_props"))
+
+
+@query("SELECT o_orderkey AS function, o_orderkey % 4 = 0 AS takes_query FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 1")
+def tile_function_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions by their signatures: some return text, some take a fourth argument that is no JSON."""
+    key = F.col("o_orderkey")
+    args = lambda *types: F.array(*[F.struct(F.lit(k).alias("position"), F.lit(n).alias("name"), t.alias("type")) for k, (n, t) in enumerate(zip("zxyq", types))])
+    whole = F.lit("integer")
+    signature = F.when(key % 4 < 2, args(whole, whole, whole, F.when(key % 4 == 0, "json").otherwise("text"))).otherwise(F.slice(args(whole, whole, whole, whole), 1, 3))
+    rows = tables.read(spark, sf, "orders").select(key.alias("function"), F.when(key % 3 == 0, "text").otherwise("bytea").alias("returns"), F.inline(signature))
+    return catalog.tile_functions(rows)

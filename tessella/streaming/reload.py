@@ -15,15 +15,31 @@ ORDER = ("update", "add", "remove")
 
 
 class Baseline:
-    """The last applied snapshot, kept as Parquet in a shared folder; a new version is written, then named."""
+    """The last applied snapshot, kept as Parquet in a shared folder, a partition a version; the highest one counts.
+
+    A version's files appear when its write commits, so a restart finds the last whole one.
+    """
 
     def __init__(self, path: str):
         self.path, self.version = path, None
 
+    def _last(self, spark) -> int | None:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            return None
+        done = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return max((int(n) for n in done if n.isdigit()), default=None)
+
     def read(self, like: DataFrame) -> DataFrame | None:
-        return None if self.version is None else like.sparkSession.read.parquet(f"{self.path}/{self.version}")
+        if self.version is None:
+            self.version = self._last(like.sparkSession)
+        return None if self.version is None else like.sparkSession.read.schema(like.schema).parquet(f"{self.path}/{self.version}")
 
     def write(self, snapshot: DataFrame, version: int) -> None:
+        if version == self.version:
+            return  # a batch that runs again after a restart: its snapshot was written when all went well
         snapshot.write.mode("overwrite").parquet(f"{self.path}/{version}")
         self.version = version
 
@@ -47,7 +63,7 @@ def watch(source: DataFrame, state: str, checkpoint: str, apply: Callable[[str,
 
     def step(batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("id").agg(F.max_by("version", "ts").alias("version"))
-        before = baseline.read(batch)
+        before = baseline.read(latest)
         if before is not None:
             latest = before.join(latest.select("id"), "id", "left_anti").unionByName(latest)
         reconcile(latest.filter("version is not null"), number, baseline, apply)

@@ -70,3 +70,8 @@ def test_tiles_of_ranges(spark):
     assert tiles.count() == tiles.distinct().count() == r.tile_count(frame).first()[0] == sum(map(len, found))
     with pytest.raises(ValueError):
         r.check_bbox((-190.0, 0.0, 0.0, 1.0))
+
+
+def test_zoom_precision(spark):
+    got = [r[0] for r in spark.range(31).orderBy("id").select(tm.zoom_precision(F.col("id").cast("int"))).collect()]
+    assert got[:30] == [0] * 11 + [1] * 3 + [2] * 3 + [3] * 4 + [4] * 3 + [5] * 3 + [6] * 3 and got[30] == 6

@@ -40,7 +40,7 @@ def test_content_hashes(spark, v1, v2):
 
 
 def test_tree_hash_tells_tilesets_apart(v1, v2):
-    rows = lambda df: {tuple(r) for r in checks.tree_hash(df, 1).collect()}
+    rows = lambda df: {tuple(r) for r in checks.tree_hash(df, 6).collect()}
     assert rows(v1) == rows(v1.repartition(7)) and rows(v1) != rows(v2)
 
 
@@ -109,9 +109,13 @@ def test_lookup(spark, v1):
 def test_merge_policies(spark, v1, v2):
     assert as_dict(tileset.merge(v1, v2, "override")) == {**V1, **V2}
     assert as_dict(tileset.merge(v1, v2, "ignore")) == {**V2, **V1}
-    with pytest.raises(ValueError, match="other data"):
+    with pytest.raises(ValueError, match="there already"):
         tileset.merge(v1, v2, "abort")
-    assert as_dict(tileset.merge(v1, v1, "abort")) == V1
+    with pytest.raises(ValueError):
+        tileset.merge(v1, v1, "abort")
+    assert as_dict(tileset.merge(v1.limit(0), v1, "abort")) == V1 == as_dict(tileset.merge(v1.limit(0), v1, "default"))
+    with pytest.raises(ValueError):
+        tileset.merge(v1, v2, "default")
 
 
 def test_summary(spark, v1):
@@ -181,7 +185,7 @@ def test_snapshot_diff_and_catalog(spark):
 
 def test_small_helpers():
     ids = catalog.IdResolver({"catalog"})
-    assert [ids.resolve("a b", "1"), ids.resolve("a b", "2"), ids.resolve("a b", "1"), ids.resolve("catalog", "3")] == ["a_b", "a_b.1", "a_b", "catalog.1"]
+    assert [ids.resolve("a b", "1"), ids.resolve("a b", "2"), ids.resolve("a b", "1"), ids.resolve("catalog", "3")] == ["a-b", "a-b.1", "a-b", "catalog.1"]
     assert catalog.find_name("GEOM", ["geom", "x"]) == "geom"
     with pytest.raises(KeyError):
         catalog.find_name("Geom", ["geom", "GEOM"])
@@ -204,3 +208,55 @@ def test_metadata(spark):
     doc = {"name": "x", "minzoom": 1, "bounds": [1.0, 2.0, 3.0, 4.0], "vector_layers": [{"id": "a"}]}
     assert metadata.from_rows(metadata.to_rows(doc)) == doc
     assert metadata.get(m, "name") == "n"
+
+
+def test_content_hashes_are_verified(spark, v1, v2):
+    empty = spark.createDataFrame([], "name string, value string")
+    for stored in (None, "crc:12", "0" * 32):
+        meta_ = tileset.upsert_metadata(empty, {"agg_tiles_hash": stored})
+        with pytest.raises(ValueError):
+            checks.validate(v1, meta_, "verify")
+        done = checks.validate(v1, meta_, "update")
+        assert checks.validate(v1, done, "verify").collect() == done.collect() and checks.validate(v1, meta_, "off").collect() == meta_.collect()
+    with pytest.raises(ValueError, match="duplicate key"):
+        checks.validate(v1.union(v1), done, "off")
+    with pytest.raises(ValueError, match="no content hash"):
+        patch.diff_tilesets(v1, empty, v2, done)
+    other = checks.validate(v2, empty, "update")
+    made, made_meta = patch.diff_tilesets(v1, done, v2, other)
+    assert as_dict(patch.apply_tileset(v1, done, made, made_meta)[0].select("z", "x", "y", "tile_data")) == as_dict(v2)
+    with pytest.raises(ValueError, match="the patch is for"):
+        patch.apply_tileset(v2, other, made, made_meta)
+    with pytest.raises(ValueError, match="is a patch"):
+        patch.diff_tilesets(made, made_meta, v2, other)
+    with pytest.raises(ValueError, match="content hash is"):
+        patch.apply_tileset(v1, done, made.limit(1), made_meta)
+
+
+def test_a_restarted_reload_knows_its_baseline(spark, tmp_path):
+    from tessella.streaming import reload
+
+    seen = []
+    apply = lambda action, ids: seen.extend((action, r["id"]) for r in ids.collect())
+    snap = lambda rows: spark.createDataFrame(rows, "id string, version string")
+    reload.reconcile(snap([("a", "1"), ("b", "1")]), 0, reload.Baseline(str(tmp_path / "b")), apply)
+    assert seen == []
+    reload.reconcile(snap([("a", "2"), ("c", "1")]), 1, reload.Baseline(str(tmp_path / "b")), apply)
+    assert seen == [("update", "a"), ("add", "c"), ("remove", "b")]
+    reload.reconcile(snap([("a", "2"), ("c", "1")]), 1, reload.Baseline(str(tmp_path / "b")), apply)
+    assert len(seen) == 3
+
+
+def test_entries_without_expiry_are_evicted_in_order(spark):
+    from tessella.operators import cache
+
+    rows = [(z, x, y, 0, None if z else 50 + x, "e", b"d" * (1 + (x + y) % 3)) for z in (0, 3, 4) for x in range(4) for y in range(8)]
+    df = spark.createDataFrame(rows, "z int, x long, y long, fetched long, expires long, etag string, tile_data binary")
+    order = sorted(rows, key=lambda r: (r[4] if r[4] is not None else 1 << 62, *r[:3]), reverse=True)
+    for most in (0, 1, 40, 77, 120, 150, 1000):
+        want, held = set(), 0
+        for r in order:
+            if (held := held + len(r[6])) > most:
+                break
+            want.add(r[:3])
+        assert {(r["z"], r["x"], r["y"]) for r in cache.evict(df, most).collect()} == want, most

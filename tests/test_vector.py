@@ -16,9 +16,16 @@ def test_formats():
     png = b"\x89PNG\r\n\x1a\n..."
     assert codecs.detect(png) == ("png", "internal")
     assert codecs.detect(gzip.compress(b'{"a":1}')) == ("json", "gzip")
-    assert codecs.detect(b"\x1f\x8bnot gzip") == ("mvt", "uncompressed")
+    assert codecs.detect(b"\x1f\x8bnot gzip") == ("mvt", "gzip") and codecs.detect(b"\x78\x9cnot zlib") == ("mvt", "zlib")
+    assert codecs.detect(gzip.compress(png)) == ("mvt", "gzip") and codecs.detect(b"GIF87a") == ("mvt", "uncompressed")
     assert codecs.detect(codecs.encode(b"\x1a\x00", "zlib")) == ("mvt", "zlib")
-    assert codecs.detect(b"\x02\x01x") == ("mlt", "uncompressed")
+    assert codecs.detect(b"\x02\x01") == ("mlt", "uncompressed") == codecs.detect(b"\x03\x01\xaa")
+    # Framed layers and what is wrong with them.
+    framed = {
+        b"\x02\x01": None, b"\x03\x01\xaa": None, b"\x80\x04\x01\xaa": None, b"\x80\x80\x05\x01\xdd": None, b"\x03\x02\xaa": "unexpected tag", b"": "truncated size",
+        b"\xff" * 64: "size overflow", b"\x00\x01": "size underflow", b"\x80": "truncated size", b"\x05": "truncated tag", b"\x03\x01": "truncated data", b"\x02\x01x": "truncated tag",
+    }
+    assert {k: codecs.framing_fault(k) for k in framed} == framed
     assert codecs.detect(b"RIFF....WEBPx")[0] == "webp" and codecs.detect(None) is None
     for e in ("gzip", "zlib", "zstd", "uncompressed"):
         assert codecs.decode(codecs.encode(b"abc", e), e) == b"abc"
