@@ -39,7 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: like ``cut``, but compressed and read by column."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{df.sparkSession.sparkContext.applicationId}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,8 +21,8 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
 LEXICONS, WHOLE_LEXICONS = 48, 24
 #: Terms that a document should have in a lexicon, about.
 TERMS = 0.7
-#: Terms of texts that a task holds before it counts them and passes the counts on.
-COUNTED_AT_ONCE = 4_000_000
+#: Distinct terms that a task holds before it passes their counts on; four of it are held while they are summed.
+COUNTED_AT_ONCE = 2_000_000
 
 #: An odd factor a lexicon: a term is in it at level j if the upper j bits of their product are 0.
 _FACTORS = mix(np.arange(1, LEXICONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -114,25 +114,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _summed(terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms, sorted, and the sums of their counts."""
+    order = np.argsort(terms, kind="stable")
+    terms, n = terms[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(terms) else np.zeros(0, dtype=np.int64)
+    return terms[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def lexicon_of(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Sorted hashes of the terms within the band, by document frequencies over all of ``docs``."""
+    """Sorted hashes of the terms within the band, by document frequencies over all of ``docs``.
+
+    A task counts what it reads, and passes on a term once for all its texts or, beyond COUNTED_AT_ONCE distinct ones, a few
+    times. Tasks read four partitions each, as most terms of one are in its neighbours as well.
+    """
 
     def run(batches):
-        def counted(found):
-            terms, n = np.unique(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
+        none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+
+        def batch_of(terms, n):
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
 
-        ids, found, held = WordIds(), [], 0
+        ids, found, held, (terms, n) = WordIds(), [], 0, none
         for batch in pieces(batches):
             for t in batch.column(0).to_pylist():
                 found.append(np.unique(ids.array(ascii_words(t))))
                 held += len(found[-1])
-            if held > COUNTED_AT_ONCE:
-                yield counted(found)
+            if held > COUNTED_AT_ONCE // 4:
+                terms, n = _summed(np.concatenate([terms, *found]), np.concatenate([n, np.ones(held, dtype=np.int64)]))
                 found, held = [], 0
-        yield counted(found)
-
-    counts = docs.select(F.col(text)).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+            if len(terms) > COUNTED_AT_ONCE:
+                yield batch_of(terms, n)
+                terms, n = none
+        yield batch_of(*_summed(np.concatenate([terms, *found]), np.concatenate([n, np.ones(held, dtype=np.int64)])))
+
+    texts = docs.select(F.col(text))
+    texts = texts.coalesce(max(1, -(-texts.rdd.getNumPartitions() // 4)))
+    counts = texts.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     total = docs.count()
     kept = counts.filter((F.col("n") >= max(2.0, LEAST_SHARE * total)) & (F.col("n") <= max(2.0, MOST_SHARE * total))).select("term")
     return np.sort(kept.toArrow().column(0).to_numpy().view(np.uint64))
