@@ -21,7 +21,7 @@ LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
 LEXICONS, WHOLE_LEXICONS = 48, 24
 #: Terms that a document should have in a lexicon, about.
 TERMS = 0.7
-#: Distinct terms that a task holds before it passes their counts on; four of it are held while they are summed.
+#: Distinct terms that a task holds before it passes their counts on.
 COUNTED_AT_ONCE = 2_000_000
 
 #: An odd factor a lexicon: a term is in it at level j if the upper j bits of their product are 0.
