@@ -18,7 +18,7 @@ from .common import WordIds, ascii_words, mix, pieces, small_batches, stage
 #: (mean number of distinct terms a document) / LEAST_SHARE terms, whatever the number of documents.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.05
 #: Randomised lexicons within the band, and over all terms; at level j each holds one term in 2^j, and those of j + 1.
-LEXICONS, WHOLE_LEXICONS = 48, 24
+LEXICONS, WHOLE_LEXICONS = 40, 20
 #: Terms that a document should have in a lexicon, about.
 TERMS = 0.7
 #: Distinct terms that a task holds before it passes their counts on.

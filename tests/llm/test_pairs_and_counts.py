@@ -239,7 +239,7 @@ def test_likeness_holds_for_any_sizes():
     rnd, seen = np.random.default_rng(8), []
     for _ in range(200):
         a = np.unique(rnd.integers(0, 2**63, 2000, dtype=np.uint64))
-        x, y = fingerprints.View.of(a, 48), fingerprints.View.of(rnd.choice(a, 60, replace=False), 48)
+        x, y = fingerprints.View.of(a, 40), fingerprints.View.of(rnd.choice(a, 60, replace=False), 40)
         level = fingerprints._level(x.n)
         own = {(int(w), int(t), int(v)) for w, t, v in zip(y.which, y.top, y.value, strict=True) if t >= level}
         assert own <= {(int(w), int(t), int(v)) for w, t, v in zip(x.which, x.top, x.value, strict=True)}
