@@ -126,6 +126,12 @@ def detect_format(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["format", "encoding"])
 
 
+def conversion(fmt: Column, accepted: Column, to_mlt: Column, to_mvt: Column) -> Column:
+    """Format that a vector tile is to be turned into for a client, or null: as accepted, unless that way is "disabled"."""
+    allowed = lambda c: F.coalesce(c, F.lit("auto")) != "disabled"
+    return F.when((fmt == "mvt") & (accepted == "mlt") & allowed(to_mlt), "mlt").when((fmt == "mlt") & (accepted == "mvt") & allowed(to_mvt), "mvt")
+
+
 def encode(data: bytes, encoding: str) -> bytes:
     if encoding == "gzip":
         return gzip.compress(data, 6, mtime=0)

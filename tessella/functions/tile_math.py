@@ -144,6 +144,19 @@ def chunk_index(x, y, across, down) -> Column:
     return F.when(inside, _col(y) * _col(across) + _col(x))
 
 
+def morton(x, y) -> Column:
+    """Place of a tile on the Z-order curve of its zoom: the bits of x and y in turn, y's above x's."""
+
+    def spread(c: Column) -> Column:
+        # The bits move apart by halves of what is left: 16, 8, 4, 2 and 1 places.
+        for places in (16, 8, 4, 2, 1):
+            mask = ((1 << 64) - 1) // ((1 << places) + 1) & ((1 << 63) - 1)
+            c = c.bitwiseOR(F.shiftleft(c, places)).bitwiseAND(F.lit(mask))
+        return c
+
+    return spread(_col(x).cast("long")).bitwiseOR(F.shiftleft(spread(_col(y).cast("long")), 1))
+
+
 def in_bbox(z, x, row, box: tuple[float, float, float, float]) -> Column:
     """Whether a stored (south-up) tile's least corner lies in the range of ``box`` at zoom 30.
 

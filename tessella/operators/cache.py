@@ -29,6 +29,17 @@ def touch(cache: DataFrame, stamps: DataFrame) -> DataFrame:
     return cache.join(new, KEY, "left").select(*KEY, pick("fetched"), pick("expires"), pick("etag"), "tile_data")
 
 
+def zoom_bounds(own_min: Column, own_max: Column, other_min: Column, other_max: Column, disabled: Column) -> Column:
+    """Struct (minzoom, maxzoom) of what is cached: a source's own bounds, each filled in from the other's; disabled is the empty range."""
+    pick = lambda own, other, none: F.when(disabled, F.lit(none)).otherwise(F.coalesce(own, other)).cast("int")
+    return F.struct(pick(own_min, other_min, 255).alias("minzoom"), pick(own_max, other_max, 0).alias("maxzoom"))
+
+
+def within(z: Column, bounds: Column) -> Column:
+    """Whether tiles of zoom ``z`` are cached; a bound that is null is none."""
+    return F.coalesce(z >= bounds["minzoom"], F.lit(True)) & F.coalesce(z <= bounds["maxzoom"], F.lit(True))
+
+
 def expired(cache: DataFrame, now: Column | int) -> DataFrame:
     now = F.lit(now) if isinstance(now, int) else now
     return cache.filter(F.col("expires").isNotNull() & (F.col("expires") < now))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -119,6 +119,52 @@ def id_column(columns: DataFrame, wanted: list[str]) -> DataFrame:
     return joined.groupBy("schema", "table").agg(best.alias("id_column"))
 
 
+def geometry_column(columns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(table, geometry, fault): the geometry column of each table of ``columns`` (table, column, type).
+
+    ``wanted`` (table, column) names one for some tables; that must be there and be a geometry. Others need
+    exactly one. A fault is a text, and the geometry null.
+    """
+    is_geometry = F.coalesce(F.col("type").isin("geometry", "geography"), F.lit(False))
+    asked = columns.join(wanted.select("table", F.col("column").alias("asked")), "table", "left")
+    found = asked.groupBy("table").agg(
+        F.max("asked").alias("asked"),
+        F.max(F.col("column") == F.col("asked")).alias("there"),
+        F.max((F.col("column") == F.col("asked")) & is_geometry).alias("fits"),
+        F.count(F.when(is_geometry, 1)).alias("n"),
+        F.min(F.when(is_geometry, F.col("column"))).alias("first"),
+    )
+    named = F.col("asked").isNotNull()
+    fault = (
+        F.when(named & ~F.col("there"), "no such column").when(named & ~F.col("fits"), "not a geometry").when(named, None)
+        .when(F.col("n") == 0, "no geometry").when(F.col("n") > 1, "several geometries")
+    )
+    return found.withColumn("fault", fault).select("table", F.when(F.col("fault").isNull(), F.coalesce("asked", "first")).alias("geometry"), "fault")
+
+
+def aliased(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of ``names``, output name -> column's name, which may differ in case."""
+    return df.select(*[F.col(f"`{find_name(found, df.columns)}`").alias(out) for out, found in names.items()])
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of the two has, each once; columns are taken by name."""
+    sides = a.withColumn("__side", F.lit(1)).unionByName(b.withColumn("__side", F.lit(2)))
+    return sides.groupBy(*a.columns).agg(F.min("__side").alias("__low"), F.max("__side").alias("__high")).filter("__low = __high").drop("__low", "__high")
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Each ``key`` once, with the place at which it came first."""
+    return rows.groupBy(key).agg(F.min(order).alias(order))
+
+
+def drop_adjacent(rows: DataFrame, part: list[str], order: str, values: list[str]) -> DataFrame:
+    """``rows`` but for those whose ``values`` are those of the row before in their part; equal rows further apart stay."""
+    window = Window.partitionBy(*part).orderBy(order)
+    same = F.lag(F.struct(*values)).over(window).eqNullSafe(F.struct(*values)) & (F.row_number().over(window) > 1)
+    return rows.withColumn("__same", same).filter(~F.col("__same")).drop("__same")
+
+
 def published(snapshot: DataFrame, actions: DataFrame) -> DataFrame:
     """``actions`` with their place in the order of publication: updates, then additions, then removals, each by name."""
     order = F.when(F.col("action") == "update", 0).when(F.col("action") == "add", 1).otherwise(2)

@@ -79,9 +79,15 @@ def update_zooms(metadata: DataFrame, tiles: DataFrame, mode: str = "reset") ->
 
 
 def clamp_zooms(declared: DataFrame, actual: DataFrame, key: str = "source") -> DataFrame:
-    """Declared zooms of each source held within those that its tiles have."""
+    """Declared zooms of each source, or of each of its layers, held within those that its tiles have; other columns stay."""
     both = declared.join(actual.select(key, F.col("min_zoom").alias("a0"), F.col("max_zoom").alias("a1")), key, "left")
-    return both.select(key, F.greatest("minzoom", "a0").alias("minzoom"), F.least("maxzoom", "a1").alias("maxzoom"))
+    others = [c for c in declared.columns if c not in NUMBERS]
+    return both.select(*others, F.greatest("minzoom", "a0").alias("minzoom"), F.least("maxzoom", "a1").alias("maxzoom"))
+
+
+def pyramid_zooms(levels: DataFrame) -> DataFrame:
+    """A row an image from its ``levels`` (image, zoom, tile_size): least and largest zoom, and whether all have one tile size."""
+    return levels.groupBy("image").agg(F.min("zoom").alias("minzoom"), F.max("zoom").alias("maxzoom"), F.min("tile_size").eqNullSafe(F.max("tile_size")).alias("one_size"))
 
 
 def merge_descriptions(sources: DataFrame) -> DataFrame:

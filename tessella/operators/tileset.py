@@ -31,6 +31,8 @@ class Tileset:
     layout: str
     tables: dict[str, DataFrame]
     metadata: DataFrame | None = field(default=None)
+    #: The keys by themselves, where the source can read them without the data.
+    keys: DataFrame | None = field(default=None)
 
     def tiles(self, how: str = "inner") -> DataFrame:
         """The logical table. ``how`` "left" keeps map rows without an image, as patches need."""
@@ -53,7 +55,9 @@ class Tileset:
         return rows if "tile_hash" in rows.columns else rows.withColumn("tile_hash", md5_hex("tile_data"))
 
     def coords(self) -> DataFrame:
-        """Keys only; data columns are never read."""
+        """Keys only; columnar tables and sources with ``keys`` read no data for them."""
+        if self.keys is not None:
+            return self.keys
         name = {"flat": "tiles", "flat_with_hash": "tiles_with_hash", "normalized": "map", "dedup_id": "tiles_shallow", "cache": "tile_cache"}[self.layout]
         return self.tables[name].select(*KEY)
 
@@ -121,6 +125,19 @@ def dedup_ids(rows: DataFrame) -> DataFrame:
     return blobs.withColumn("place", place).join(F.broadcast(before), "range").select("tile_hash", "tile_data", (F.col("before") + F.col("place")).cast("long").alias("tile_data_id"))
 
 
+def numbered(rows: DataFrame, order: str, name: str, ranges: int = 256) -> DataFrame:
+    """``rows`` with their number from 1 by ``order``: borders of ranges from a sample, counts of the ranges, a place within each.
+
+    The borders decide only how rows are dealt, not their numbers; equal values of ``order`` are numbered in any way.
+    """
+    spread = rows.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id())
+    bounds = spread.groupBy("__range").agg(F.min(order).alias("__low"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = bounds.select("__range", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    return spread.withColumn("__place", place).join(F.broadcast(starts), "__range").withColumn(name, F.col("__before") + F.col("__place")).drop("__range", "__place", "__before")
+
+
 def remap_ids(map_: DataFrame, ids: DataFrame) -> DataFrame:
     """``map_`` with its ids replaced by new ones: ``ids`` has tile_id and new_id."""
     return map_.join(ids.select(F.col("tile_id").cast("string").alias("old_id"), "new_id"), F.col("tile_id").cast("string") == F.col("old_id")).select(*KEY, F.col("new_id").alias("tile_id"))
@@ -162,6 +179,12 @@ def copy(src: Tileset, layout: str | None = None, what: str = "all", **filters)
     return to_layout(rows, target, meta)
 
 
+def clustered(rows: DataFrame, partitions: int, *first: str) -> DataFrame:
+    """``rows`` dealt by ranges and sorted along the Z-order curve of each zoom, so that near tiles share files and row groups."""
+    place = tm.morton("x", "y")
+    return rows.repartitionByRange(partitions, *first, "z", place).sortWithinPartitions(*first, "z", place)
+
+
 def merge(dst: DataFrame, src: DataFrame, on_duplicate: str = "override") -> DataFrame:
     """``dst`` and ``src`` as one table: "override" lets src win, "ignore" dst, "abort" raises on any key that both have.
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import geometry as geo
 from tessella.functions import tile_math as tm
@@ -44,6 +46,27 @@ def join_tiles(features: DataFrame, coords: DataFrame, zooms: list[int], extent:
     return cover(features, zooms, extent, buffer).join(coords.select("z", "x", "y").distinct(), ["z", "x", "y"])
 
 
+def search_box(z, x, y, srid: int, extent: int = 4096, buffer: int = 64) -> Column:
+    """Struct (minx, miny, maxx, maxy) in which a tile's features are looked for, in the reference system of their table.
+
+    Metres are grown in metres; degrees are grown in degrees, as a box past the antimeridian would fold when it is transformed.
+    """
+    if srid == 3857:
+        return tm.buffered_box(z, x, y, extent, buffer)
+    if srid != 4326:
+        raise ValueError(f"reference system {srid} is not known")
+    box, more = tm.range_box(z, x, y, x, y), tm.margin_degrees(z, extent, buffer)
+    sides = (box["min_lng"] - more, box["min_lat"] - more, box["max_lng"] + more, box["max_lat"] + more)
+    return F.struct(*[side.alias(name) for side, name in zip(sides, ("minx", "miny", "maxx", "maxy"), strict=True)])
+
+
+@F.pandas_udf(T.BooleanType())
+def meets_box(geoms: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+    """Whether a WKB geometry itself has points in the box; null meets nothing. For what a join on boxes has left."""
+    boxes = zip(geoms, minx, miny, maxx, maxy, strict=True)
+    return pd.Series([g is not None and any(geo.meets(s, tuple(box)) for s in geo.read_wkb(bytes(g))) for g, *box in boxes], dtype=bool)
+
+
 def limit_features(rows: DataFrame, most: int, order: str = "id") -> DataFrame:
     """The first ``most`` features of each tile, by ``order``."""
     from pyspark.sql import Window

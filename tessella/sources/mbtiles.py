@@ -1,7 +1,9 @@
 """Archives in SQLite as a Spark source, and a sink for them.
 
 The source is split by ranges of zoom and column, so that a large archive is read by many tasks; each
-task opens the file by itself, so its path must be on a file system that every executor mounts.
+task opens the file by itself, so its path must be on a file system that every executor mounts. Rows
+come in Arrow batches. Keys have a table of their own, read without the data. Where the session has
+spark.sql.python.filterPushdown.enabled, filters on zoom, column and row are put into each task's SQL.
 """
 
 from __future__ import annotations
@@ -9,8 +11,21 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from tessella.operators.tileset import Tileset, detect_layout
 
@@ -29,6 +44,11 @@ def _open(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path.removeprefix('file://')}?mode=ro", uri=True)
 
 
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+_SIGNS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+BATCH_ROWS = 1000
+
+
 class _Rows(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -38,6 +58,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table, self.columns = options["path"], options["table"], options["columns"].split(",")
         self.parts = int(options.get("partitions", 8))
+        self.tests: list[tuple[str, list]] = []
 
     def partitions(self) -> list[InputPartition]:
         with _open(self.path) as db:
@@ -47,10 +68,41 @@ class _Reader(DataSourceReader):
         step = max(1, -(-(high - low + 1) // self.parts))
         return [_Rows(k, min(k + step, high + 1)) for k in range(low, high + 1, step)]
 
-    def read(self, partition: _Rows) -> Iterator[tuple]:
+    def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         names = ", ".join(f'"{c}"' for c in self.columns)
+        kinds = [_ARROW.get(_TYPES.get(c, "string"), pa.string()) for c in self.columns]
+        tests = " AND ".join(["rowid >= ?", "rowid < ?", *[test for test, _ in self.tests]])
+        values = [partition.low, partition.high, *[v for _, given in self.tests for v in given]]
         with _open(self.path) as db:
-            yield from db.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (partition.low, partition.high))
+            cursor = db.execute(f'SELECT {names} FROM "{self.table}" WHERE {tests}', values)
+            while rows := cursor.fetchmany(BATCH_ROWS):
+                columns = [pa.array(map(_FIT.get(kind, _same), c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[_NAMES.get(c, c) for c in self.columns])
+
+
+def _same(v):
+    return v
+
+
+#: SQLite keeps a value's own type, whatever its column's is.
+_FIT = {pa.string(): lambda v: v if v is None or isinstance(v, str) else str(v), pa.binary(): lambda v: v.encode() if isinstance(v, str) else v}
+
+
+class _FilteringReader(_Reader):
+    """Takes comparisons of key columns with values; all other filters are left to Spark."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        back = {v: k for k, v in _NAMES.items()}
+        for f in filters:
+            name = back.get(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
+            if name in self.columns and type(f) in _SIGNS:
+                self.tests.append((f'"{name}" {_SIGNS[type(f)]} ?', [f.value]))
+            elif name in self.columns and isinstance(f, In):
+                self.tests.append((f'"{name}" IN ({", ".join("?" * len(f.value))})', list(f.value)))
+            elif name in self.columns and isinstance(f, IsNotNull):
+                self.tests.append((f'"{name}" IS NOT NULL', []))
+            else:
+                yield f
 
 
 class SqliteTable(DataSource):
@@ -64,7 +116,8 @@ class SqliteTable(DataSource):
         return ", ".join(f"`{_NAMES.get(c, c)}` {_TYPES.get(c, 'string')}" for c in self.options["columns"].split(","))
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        options = dict(self.options)
+        return _FilteringReader(options) if options.get("pushdown") == "true" else _Reader(options)
 
 
 def read(spark: SparkSession, path: str, partitions: int = 8) -> Tileset:
@@ -75,9 +128,11 @@ def read(spark: SparkSession, path: str, partitions: int = 8) -> Tileset:
         counted = "metadata" in tables
     layout = detect_layout(schemas)
     spark.dataSource.register(SqliteTable)
-    load = lambda t, c: spark.read.format("sqlite_table").options(path=path, table=t, columns=",".join(c), partitions=partitions).load()
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()  # a reader that pushes fails without it
+    load = lambda t, c: spark.read.format("sqlite_table").options(path=path, table=t, columns=",".join(c), partitions=partitions, pushdown=pushdown).load()
     found = {t: load(t, c) for t, c in _TABLES[layout].items()}
-    return Tileset(layout, found, load("metadata", ["name", "value"]) if counted else None)
+    keyed = next(t for t, c in _TABLES[layout].items() if "zoom_level" in c)
+    return Tileset(layout, found, load("metadata", ["name", "value"]) if counted else None, load(keyed, list(_NAMES)))
 
 
 def write(tileset: Tileset, path: str) -> None:

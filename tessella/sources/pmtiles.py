@@ -90,35 +90,91 @@ def write_bytes(tiles: dict[tuple[int, int, int], bytes], tile_type: int = 1) ->
     return head + root + meta + body
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """z, x, y (north-up), tile_data and archive of the archives at ``path``, each read by one task; runs come apart."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+_MAGIC, _HEAD = b"PMTiles\x03", 127
+_KINDS = {"z": pa.int32(), "x": pa.int64(), "y": pa.int64(), "tile_data": pa.binary(), "archive": pa.string()}
+_RANGE = {"archive": pa.string(), "first": pa.int64(), "n": pa.int64(), "at": pa.int64(), "length": pa.int64()}
 
-    def run(batches):
+
+def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _entries(name: str, part):
+    """(first id, run, place, length) of an archive's data; ``part`` gives the bytes at a place, so directories alone are read."""
+    head = part(0, _HEAD)
+    if head[:8] != _MAGIC:
+        raise ValueError(f"{name} is no archive of version 3")
+    root, root_n, _, _, leaves, _, data, *_ = struct.unpack_from("<11Q", head, 8)
+    unpack = gzip.decompress if head[97] == 2 else bytes
+    todo = [(root, root_n)]
+    while todo:
+        for first, n, length, offset in _directory(unpack(part(*todo.pop()))):
+            if n:
+                yield first, n, data + offset, length
+            else:
+                todo.append((leaves + offset, length))
+
+
+def _tiles(name: str, entries, part):
+    """Batches of rows of the tiles of ``entries``; a run's tiles share their data."""
+    rows = []
+    for first, n, at, length in entries:
+        blob = part(at, length)
+        for k in range(n):
+            rows.append((*tile_of(first + k), blob, name))
+            if len(rows) >= 1000:
+                yield _batch(rows, _KINDS)
+                rows = []
+    yield _batch(rows, _KINDS)
+
+
+def _opened(path: str):
+    file = open(path.removeprefix("file://").removeprefix("file:"), "rb")
+
+    def part(at: int, length: int) -> bytes:
+        file.seek(at)
+        return file.read(length)
+
+    return file, part
+
+
+def read(spark: SparkSession, path: str, mounted: bool = False, partitions: int = 64) -> DataFrame:
+    """z, x, y (north-up), tile_data and archive of the archives at ``path``; runs come apart.
+
+    Where executors mount ``path``, directories are read by a task an archive, and data by ranges of each
+    archive, in any number of tasks. Otherwise Spark hands over an archive whole, a task each, up to 2 GiB.
+    """
+    schema = "z int, x bigint, y bigint, tile_data binary, archive string"
+    files = spark.read.format("binaryFile").load(path)
+
+    def whole(batches):
         for batch in batches:
             for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if raw[:8] != b"PMTiles\x03":
-                    raise ValueError(f"{name} is no archive of version 3")
-                root, root_n, _, _, leaves, _, data, *_ = struct.unpack_from("<11Q", raw, 8)
-                unpack = gzip.decompress if raw[97] == 2 else bytes
-                todo, rows = [_directory(unpack(raw[root : root + root_n]))], []
-                while todo:
-                    for first, n, length, offset in todo.pop():
-                        if not n:
-                            todo.append(_directory(unpack(raw[leaves + offset : leaves + offset + length])))
-                        for k in range(n):
-                            rows.append((*tile_of(first + k), raw[data + offset : data + offset + length], name))
-                        if len(rows) >= 1000:
-                            yield frame(rows)
-                            rows = []
-                yield frame(rows)
-
-    def frame(rows):
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["z", "x", "y", "tile_data", "archive"])
-
-    return files.mapInArrow(run, "z int, x bigint, y bigint, tile_data binary, archive string")
+                part = lambda at, n, raw=raw: raw[at : at + n]
+                yield from _tiles(name, _entries(name, part), part)
+
+    def listed(batches):
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                file, part = _opened(name)
+                with file:
+                    rows = [(name, *e) for e in _entries(name, part)]
+                for k in range(0, len(rows), 10_000):
+                    yield _batch(rows[k : k + 10_000], _RANGE)
+
+    def ranged(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for name in dict.fromkeys(r["archive"] for r in rows):
+                file, part = _opened(name)
+                with file:
+                    yield from _tiles(name, ((r["first"], r["n"], r["at"], r["length"]) for r in rows if r["archive"] == name), part)
+
+    if not mounted:
+        return files.select("path", "content").mapInArrow(whole, schema)
+    found = files.select("path").mapInArrow(listed, "archive string, first bigint, n bigint, at bigint, length bigint")
+    return found.repartitionByRange(partitions, "archive", "at").sortWithinPartitions("archive", "at").mapInArrow(ranged, schema)
 
 
 def discover(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In
 
 from tessella.operators import tileset
 from tessella.sources import files, mbtiles, pmtiles
@@ -19,6 +20,24 @@ def test_archives_round_trip(spark, tmp_path):
         assert [tuple(r) for r in back.metadata.collect()] == [("name", "x")]
 
 
+def test_archives_take_filters(spark, tmp_path):
+    path = str(tmp_path / "a.mbtiles")
+    mbtiles.write(tileset.to_layout(frame(spark, V1), "flat"), path)
+    assert sorted(tuple(r) for r in mbtiles.read(spark, path).coords().collect()) == sorted(V1)
+    zoom = max(k[0] for k in V1)
+    reader = mbtiles._FilteringReader({"path": path, "table": "tiles", "columns": "zoom_level,tile_column,tile_row,tile_data"})
+    left = list(reader.pushFilters([EqualTo(("z",), zoom), GreaterThan(("x",), -1), In(("y",), tuple(range(64))), EqualTo(("tile_data",), b"x")]))
+    assert left == [EqualTo(("tile_data",), b"x")]
+    read = sum(b.num_rows for part in reader.partitions() for b in reader.read(part))
+    assert read == sum(k[0] == zoom for k in V1) < len(V1)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = mbtiles.read(spark, path).tiles().filter((F.col("z") == zoom) & F.col("tile_data").isNotNull())
+        assert as_dict(rows) == {k: v for k, v in V1.items() if k[0] == zoom and v is not None}
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
 def test_hilbert_ids():
     assert [pmtiles.tile_id(0, 0, 0), pmtiles.tile_id(1, 0, 0), pmtiles.tile_id(1, 0, 1), pmtiles.tile_id(1, 1, 1), pmtiles.tile_id(1, 1, 0), pmtiles.tile_id(2, 0, 0)] == [0, 1, 2, 3, 4, 5]
     for n in (0, 1, 5, 77, 12345, 19078479):
@@ -30,6 +49,8 @@ def test_pmtiles(spark, tmp_path):
     (tmp_path / "a.pmtiles").write_bytes(pmtiles.write_bytes(want))
     got = {(r["z"], r["x"], r["y"]): bytes(r["tile_data"]) for r in pmtiles.read(spark, str(tmp_path)).collect()}
     assert got == want
+    ranged = pmtiles.read(spark, str(tmp_path), mounted=True, partitions=3)
+    assert {(r["z"], r["x"], r["y"]): bytes(r["tile_data"]) for r in ranged.collect()} == want
     assert [r["id"] for r in pmtiles.discover(spark, str(tmp_path)).collect()] == ["a"]
 
 
