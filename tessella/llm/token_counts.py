@@ -87,7 +87,7 @@ def _frequent(texts: DataFrame, most: int) -> DataFrame:
 
 
 def count_tokens(
-    docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, limit: int = LIMIT
+    docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, limit: int = LIMIT, key_bits: int = 64
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row of ``docs``.
 
@@ -95,7 +95,8 @@ def count_tokens(
     rows that is broadcast; each other one where the shuffle brings its occurrences together. Ids are
     never kept, and whole texts never encoded. Null texts count as empty: no bytes, no tokens. Repeated
     rows give repeated rows and null ids stay; other columns don't matter; an empty table gives no rows. Ids are of any type that
-    has an order. A pre-token that is in the head, of any length, never meets in a task.
+    has an order. A pre-token that is in the head, of any length, never meets in a task. Shuffled pre-tokens
+    name their row by ``key_bits`` bits of a hash; rows of which others have the same are counted by themselves.
     """
     check_model(Pieces(model_path).processor)
     spark = docs.sparkSession
@@ -131,10 +132,10 @@ def count_tokens(
                 rest += others
                 n += others.values()
             own, at = range(len(texts)), pa.array(at, pa.int64())
-            ids = [pa.concat_arrays([batch.column(c), batch.column(c).take(at)]) for c in ("one", "two")]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *ids,
+                    pa.concat_arrays([batch.column("one"), batch.column("one").take(at)]),
+                    pa.concat_arrays([batch.column("two"), pa.nulls(len(rest), pa.int64())]),
                     pa.array([None for _ in own] + rest, pa.string()),
                     pa.array(sums + n, pa.int64()),
                     pa.concat_arrays([docs_, pa.nulls(len(rest)).cast(docs_.type)]),
@@ -162,20 +163,34 @@ def count_tokens(
             last = some.column("token")[some.num_rows - 1].as_py()
             last_count = int(counts[distinct.index(last)])
             sums = counts[coded.indices.to_numpy()] * some.column("n").to_numpy()
-            one, first, where = np.unique(some.column("one").to_numpy(), return_index=True, return_inverse=True)
+            one, where = np.unique(some.column("one").to_numpy(), return_inverse=True)
             sums = np.bincount(where, sums, len(one)).astype(np.int64)
             nothing = pa.nulls(len(one))
-            two = some.column("two").take(pa.array(first))
-            yield pa.RecordBatch.from_arrays([pa.array(one), two, nothing.cast(batch.column("doc").type), nothing.cast(pa.int64()), pa.array(sums)], names=made)
+            yield pa.RecordBatch.from_arrays([pa.array(one), nothing.cast(pa.int64()), nothing.cast(batch.column("doc").type), nothing.cast(pa.int64()), pa.array(sums)], names=made)
 
     made = ["one", "two", "doc", "n_bytes", "n"]
-    # Rows are known by two hashes of id and text, which a lost task finds again; equal rows are counted, and their sum parted.
-    named = rows.select(F.xxhash64("doc", "text").alias("one"), F.xxhash64(F.lit(1), "doc", "text").alias("two"), "doc", "text")
-    cut = named.mapInArrow(cut_texts, f"one bigint, two bigint, token string, n bigint, doc {kind}, n_bytes bigint")
-    met = cut.repartition(F.when(F.col("token").isNull(), F.xxhash64("one")).otherwise(F.xxhash64("token")))
+    # Rows are known by a hash of id and text, which a lost task finds again; equal rows are counted, and their sum
+    # parted. A second hash, in the row's own mark alone, tells where different rows share the first.
+    one = F.shiftright(F.xxhash64("doc", "text"), 64 - key_bits) if key_bits < 64 else F.xxhash64("doc", "text")
+    named = rows.select(one.alias("one"), F.xxhash64(F.lit(1), "doc", "text").alias("two"), "doc", "text")
+    counted = named.mapInArrow(cut_texts, f"one bigint, two bigint, token string, n bigint, doc {kind}, n_bytes bigint")
+    met = counted.repartition(F.when(F.col("token").isNull(), F.xxhash64("one")).otherwise(F.xxhash64("token")))
     parts = met.sortWithinPartitions("token").mapInArrow(join_pieces, f"one bigint, two bigint, doc {kind}, n_bytes bigint, n bigint")
-    whole = parts.groupBy("one", "two").agg(F.max("doc").alias("doc"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.count("n_bytes").alias("copies"))
-    each = whole.select("doc", "n_bytes", F.expr("n div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    sums = [F.max("doc").alias("doc"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.count("n_bytes").alias("copies")]
+    whole = cut(parts.groupBy("one").agg(*sums, F.min("two").alias("low"), F.max("two").alias("high")))
+    alone, shared = whole.filter("low = high"), whole.filter("low <> high").select("one")
+    each = alone.select("doc", "n_bytes", F.expr("n div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    if not shared.isEmpty():
+
+        def count_whole(batches):
+            pieces = Pieces(model_path)
+            for batch in batches:
+                texts = batch.column("text").to_pylist()
+                columns = [[len(t.encode("utf-8", "replace")) for t in texts], [sum(pieces.count(found)) if (found := pre_tokens(t)) else 0 for t in texts]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), *[pa.array(c, pa.int64()) for c in columns]], names=["doc", "n_bytes", "n_tokens"])
+
+        again = named.join(shared, "one", "left_semi").select("doc", "text").mapInArrow(count_whole, f"doc {kind}, n_bytes bigint, n_tokens bigint")
+        each = each.drop("col").unionByName(again)
     return each.select(F.col("doc").alias(doc_id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

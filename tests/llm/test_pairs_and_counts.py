@@ -204,6 +204,8 @@ def test_token_counts_are_the_library_s(spark, sf, head):
     rows += [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).collect()]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("token", F.lit(1)).withColumn("rid", F.lit("x"))
     got = collections.Counter(tuple(r) for r in token_counts.count_tokens(df, path, head=head).collect())
+    few = token_counts.count_tokens(df, path, head=head, key_bits=2)  # rows that share a hash are counted by themselves
+    assert collections.Counter(tuple(r) for r in few.collect()) == got
     assert got == collections.Counter((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t in rows)
     assert token_counts.count_tokens(df.limit(0), path).count() == 0
 
