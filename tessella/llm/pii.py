@@ -117,10 +117,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 start, end = groups[i][0], groups[j][1]
                 while start > m.start() and text[start - 1] in "+(":
                     start -= 1
-                if 13 <= n <= 19:
-                    found.add(("card", start, end))
-                if 7 <= n <= 15:
-                    found.add(("phone", start, end))
+                # A bracket that isn't closed within may stand around the span, not in it.
+                for s in {start, start + (text[start] == "(" and ")" not in text[start:end])}:
+                    if 13 <= n <= 19:
+                        found.add(("card", s, end))
+                    if 7 <= n <= 15:
+                        found.add(("phone", s, end))
     found.update(("ip", *m.span()) for m in _HEX.finditer(text) if m[0].count(":") >= 3 and m.end() - m.start() >= 8)
     return sorted(found)
 
@@ -149,6 +151,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(prev) and prev.isalnum()), float(bool(nxt) and nxt.isalnum()), float(prev in tuple("+(-./@_")), float(nxt in tuple("-./@_")),
         float(bool(_AGAIN.match(after))), s.count("["), float(len([g for g in s.split(":") if g]) >= 4 and all(len(g) <= 4 for g in s.split(":"))), float(any(c in "abcdefABCDEF" for c in s)),
         float(after[:2].strip()[:1].isdigit()), float(before[-2:].strip()[-1:].isdigit()), float(prev in ('"', "'", "=")),
+        s.count("(") - s.count(")"), float(nxt == "." and not after[1:2].isalnum()),
+        float(after.lstrip(" ()./-_")[:1].isdigit()), float(before.rstrip(" ()./-_")[-1:].isdigit()),
         *[float(bool(w.search(before))) for w in _WORDS],
     ]
 
@@ -173,7 +177,7 @@ def _variants(kind: str, s: str) -> list[tuple[str, int]]:
         w, x, y, z = (f"{int(p) * 257 + 4096:x}" for p in (a, b, c, e))
         return [
             (f"{a}[.]{b}[.]{c}[.]{e}", 1), (f"{a}(.){b}(.){c}(.){e}", 1), (f"{a} dot {b} dot {c} dot {e}", 1), (f"{a}[dot]{b}[dot]{c}[dot]{e}", 1), (f"{a}.{b}.{c}[.]{e}", 1), (f"{a} . {b} . {c} . {e}", 1),
-            (f"2001:db8::{w}:{x}:{y}", 1), (f"fe80::{w}:{x}:{y}:{z}", 1), (f"2001:db8:{w}:{x}:{y}:{z}:{w}:1", 1), (f"2001:DB8:0:0:{w}:{x}:{y}:{z}".upper(), 1),
+            (f"2001:db8::{w}:{x}:{y}", 1), (f"fe80::{w}:{x}:{y}:{z}", 1), (f"fe80::{y}:{z}", 1), (f"2001:db8:{w}:{x}:{y}:{z}:{w}:1", 1), (f"2001:DB8:0:0:{w}:{x}:{y}:{z}".upper(), 1),
             (f"{int(a) % 24:02}:{int(b) % 60:02}:{int(c) % 60:02}:{int(e) % 60:02}", 0), (f"{int(a):02x}:{int(b):02x}:{int(c):02x}:{int(e):02x}:{int(a):02x}:{int(b):02x}", 0),
             (f"{a}.{b}", 0), (f"{a}.{b}.{c}", 0), (f"{a}-{b}-{c}-{e}", 0), (f"{int(a) + 300}.{b}.{c}.{e}", 0), (f"{int(a) + 300}[.]{b}[.]{c}[.]{e}", 0), (f"{a[:1]} . {b} . {int(c) + 300} . {e}", 0),
         ]
@@ -190,11 +194,15 @@ def _variants(kind: str, s: str) -> list[tuple[str, int]]:
     return [
         (f"({local[:3]}) {local[3:6]}-{local[6:]}", 1), (f"{local[:3]}-{local[3:6]}-{local[6:]}", 1), (f"{local[:3]}.{local[3:6]}.{local[6:]}", 1),
         (f"00{d[:-10] or '1'} {local[:3]} {local[3:6]} {local[6:]}", 1), (f"+{d[:-10] or '1'}/{local[:3]}/{local[3:6]}/{local[6:]}", 1),
+        (f"{local[:3]} {local[3:6]} {local[6:]}", 1), (f"0{local[1:3]}/{local[3:]}", 1), (f"0{local[1]} {local[2:4]} {local[4:6]} {local[6:8]} {local[8:]}", 1), (f"00{d[:-10] or '49'}-{local[:2]}-{local[2:]}", 1), (f"0{local[1:4]} {local[4:]}", 1),
+        (f"{local[:2]} {local[2:4]} {local[4:6]} {local[6:8]}", 0), (f"{local[:3]} {local[3:6]}", 0), (f"{local[:3]}/{local[3:6]}", 0),
         (" ".join(local), 1), ("-".join(local), 1), ("/".join(local), 1), (f"0 {' '.join(local[1:])}", 1), (" ".join(local[:7]), 0), ("-".join(local[:7]), 0), (local, 0), (local[:7], 0), (f"{local[:4]}-{local[4:6]}-{local[6:8]}", 0), (f"{local[:4]}/{local[4:8]}", 0), (f"{local[:2]}.{local[2:4]}.{local[4:8]}", 0),
         (f"978-{local[0]}-{local[1:3]}-{local[3:9]}-{local[9:]}", 0), (f"20{local[:2]}-20{local[2:4]}", 0), (f"20{local[:2]}-0{local[2]}-1{local[3]} 1{local[4]}", 0),
     ]
 
 
+#: What may stand around a rewritten span, beside the words of its own text (None).
+_FRAMES = ((None, None), (None, None), ("(", ")"), (None, ". "), (None, ", "), ("\n", "\n"), ('"', '"'))
 #: What may stand before a rewritten address: other words that could be taken for its beginning.
 _LEADS = ("", "", "reach me at ", "contact me at ", "write to ")
 
@@ -217,7 +225,9 @@ def training_rows(text: str, most: int = PER_DOCUMENT) -> list[tuple[list[float]
         before, after = text[max(0, start - 30) : start], text[end : end + 30]
         for at, (s, label) in enumerate(_variants(kind, text[start:end])):
             lead = _LEADS[(start + at) % len(_LEADS)] if kind == "email" else ""
-            other, lo = before + lead + s + after, len(before) + len(lead)
+            left, right_of = _FRAMES[_order(text, start, at) % len(_FRAMES)]
+            lead = lead if left is None else f" {left}"
+            other, lo = before + lead + s + (right_of or "") + after, len(before) + len(lead)
             hi = lo + len(s)
             near = [(a, b) for k, a, b in candidates(other) if k == kind and a < hi and lo - len(lead) < b]
             rows += [(features(other, kind, a, b), label) for a, b in near if (a, b) == (lo, hi)]

@@ -62,6 +62,7 @@ def disguised(rnd):
         ("ip", "[.]".join(parts)), ("ip", " dot ".join(parts)), ("ip", ":".join(f"{rnd.randrange(4096, 65536):x}" for _ in range(8))),
         ("card", "  ".join(re.findall("....", card))), ("card", "/".join(re.findall("..", card))),
         ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", f"{rnd.randrange(200, 999)}-{d(3)}-{d(4)}"), ("phone", " ".join("0" + d(9))),
+        ("phone", f"0{d(2)}/{d(7)}"), ("phone", f"0{rnd.randrange(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}"),
     ]
 
 
@@ -74,6 +75,8 @@ def test_planted_disguises_are_found(spark):
             before = rnd.choice(["you can reach me at ", "please note ", "he wrote ", "my details: "])
             assert pii.base_spans(before + s) == []
             found.append((kind, len(before), len(before) + len(s)) in pii.all_spans(f"{before}{s} thanks", model)[1])
+            before, after = rnd.choice([("(", ")"), ("number: ", "."), ("first line\n", "\nlast line"), ("tel. ", ", then")])
+            found.append((kind, len(before), len(before) + len(s)) in pii.all_spans(before + s + after, model)[1])
     assert np.mean(found) >= 0.9
     for t in ("mac 00:1a:2b:3c:4d:5e", "look at example. The end", "isbn 978-3-16-148410-0", "between 2010-2014", "order 1234567", "at 12:34:56:01"):
         clean += len(pii.all_spans(t, model)[1])
