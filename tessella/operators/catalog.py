@@ -166,9 +166,9 @@ def drop_adjacent(rows: DataFrame, part: list[str], order: str, values: list[str
 
 
 def published(snapshot: DataFrame, actions: DataFrame) -> DataFrame:
-    """``actions`` with their place in the order of publication: updates, then additions, then removals, each by name."""
+    """``actions`` with their place in the order of publication: updates, then additions, then removals, each by name, equal names by id."""
     order = F.when(F.col("action") == "update", 0).when(F.col("action") == "add", 1).otherwise(2)
-    return actions.join(snapshot.select("id", "name"), "id", "left").select("id", "action", F.struct(order.alias("step"), F.coalesce("name", F.col("id").cast("string")).alias("name")).alias("place"))
+    return actions.join(snapshot.select("id", "name"), "id", "left").select("id", "action", F.struct(order.alias("step"), F.coalesce("name", F.col("id").cast("string")).alias("name"), "id").alias("place"))
 
 
 def find_name(wanted: str, names: list[str]) -> str:

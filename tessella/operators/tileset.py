@@ -129,8 +129,10 @@ def numbered(rows: DataFrame, order: str, name: str, ranges: int = 256) -> DataF
     """``rows`` with their number from 1 by ``order``: borders of ranges from a sample, counts of the ranges, a place within each.
 
     The borders decide only how rows are dealt, not their numbers; equal values of ``order`` are numbered in any way.
+    Dealt anew, rows have other borders, as the sample is another; so dealt rows are kept in the session's cache, and
+    counts and places are those of the same ranges.
     """
-    spread = rows.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id())
+    spread = rows.repartitionByRange(ranges, order).withColumn("__range", F.spark_partition_id()).persist()
     bounds = spread.groupBy("__range").agg(F.min(order).alias("__low"), F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
     starts = bounds.select("__range", before.alias("__before"))

@@ -47,6 +47,19 @@ def test_numbers_are_gapless(spark):
     assert rows_of(tileset.numbered(df.limit(0), "v", "n")) == []
 
 
+def test_numbers_hold_beyond_the_sample(spark):
+    # More rows than the borders are drawn from, and a column that only the places need.
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("v"), F.col("id").cast("string").alias("w"))
+    assert [n for _, n, _ in rows_of(tileset.numbered(df, "v", "n", 16).select("v", "n", "w"))] == list(range(1, 100_001))
+
+
+def test_equal_names_are_published_by_id(spark):
+    ids = [k * 7919 % 600 for k in range(600)]
+    rows = spark.createDataFrame([(k, f"source {k % 2}") for k in ids], "id long, name string").repartition(7)
+    places = tileset.numbered(catalog.published(rows, rows.select("id", F.lit("add").alias("action"))), "place", "number", 16)
+    assert [r["id"] for r in places.orderBy("number").collect()] == sorted(ids, key=lambda k: (k % 2, k))
+
+
 def test_render_leaves_empty_tiles_out(spark):
     source = lambda coords: coords.withColumn("tile_data", F.when(F.col("x") == 0, F.lit(b"a")).when(F.col("x") == 1, F.lit(b"")))
     rects = ranges.rects_frame(spark, [ranges.Rect(2, 0, 0, 2, 1)])
