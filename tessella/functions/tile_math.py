@@ -7,6 +7,7 @@ filters on these expressions cost no Python.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,10 +109,17 @@ def margin_degrees(z, extent: int = 4096, buffer: int = 64) -> Column:
     return F.lit(360.0 * buffer / extent) / side(z).cast("double")
 
 
-def tile_pixel(mx, my, z, x, y, extent: int = 4096) -> tuple[Column, Column]:
-    """Place of a point in metres on a tile's grid, y downwards."""
+def exact_corner(z: int, x, y) -> tuple[Column, Column]:
+    """Least x and y of a tile in metres, rounded only once: the products are decimals."""
+    size, half = (F.lit(Decimal(repr(metres))) for metres in (EARTH / (1 << z), EARTH / 2))
+    return (_col(x) * size - half).cast("double"), (half - _col(y) * size - size).cast("double")
+
+
+def tile_pixel(mx, my, z, x, y, extent: int = 4096, corner: tuple[Column, Column] | None = None) -> tuple[Column, Column]:
+    """Place of a point in metres on a tile's grid, y downwards, from the tile's least corner as it is given or in doubles."""
     box, scale = tile_box(z, x, y), F.lit(float(extent)) / tile_length(z)
-    return F.floor((_col(mx) - box["minx"]) * scale), F.lit(extent) - F.floor((_col(my) - box["miny"]) * scale)
+    left, bottom = corner or (box["minx"], box["miny"])
+    return F.floor((_col(mx) - left) * scale), F.lit(extent) - F.floor((_col(my) - bottom) * scale)
 
 
 def zoom_precision(z) -> Column:

@@ -104,10 +104,10 @@ def search_boxes(spark: SparkSession, sf: str) -> DataFrame:
 t AS (SELECT *, CAST(floor((mx + {tm.EARTH / 2!r}) / s) AS BIGINT) AS x, CAST(floor(({tm.EARTH / 2!r} - my) / s) AS BIGINT) AS y FROM m)
 SELECT id, x, y, CAST(floor((mx - (x * s - {tm.EARTH / 2!r})) * (4096 / s)) AS BIGINT) // 16 AS px, (4096 - CAST(floor((my - ({tm.EARTH / 2!r} - y * s - s)) * (4096 / s)) AS BIGINT)) // 16 AS py FROM t WHERE x < 64""")
 def tile_pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """Places of points on their tile's grid, in steps of sixteen."""
+    """Places of points on their tile's grid, in steps of sixteen; what rounding puts a hair before the edge is in the first step."""
     p = vector.point_features(tables.points(spark, sf), F.col("lng"), F.col("lat")).select("id", F.col("minx").alias("mx"), F.col("miny").alias("my"), tm.tile_x("lng", 6).alias("x"), tm.tile_y("lat", 6).alias("y"))
-    px, py = tm.tile_pixel("mx", "my", F.lit(6), "x", "y")
-    return p.select("id", "x", "y", F.floor(px / 16).alias("px"), F.floor(py / 16).alias("py"))
+    px, py = tm.tile_pixel("mx", "my", F.lit(6), "x", "y", corner=tm.exact_corner(6, "x", "y"))
+    return p.select("id", "x", "y", (px / 16).cast("long").alias("px"), (py / 16).cast("long").alias("py"))
 
 
 # --- catalogs ---

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,24 @@ def test_numbers_hold_beyond_the_sample(spark):
     assert [n for _, n, _ in rows_of(tileset.numbered(df, "v", "n", 16).select("v", "n", "w"))] == list(range(1, 100_001))
 
 
+@pytest.fixture(scope="module")
+def edge_events(spark, tmp_path_factory):
+    """Events whose points lie on the edges between tiles, which rounding puts to either side."""
+    folder = str(tmp_path_factory.mktemp("edges"))
+    rows = spark.range(0, 360_000, 625).select(F.col("id").alias("event_id"), (F.col("id") % 97).alias("user_id"))
+    rows = rows.select("*", F.timestamp_seconds("event_id").alias("ts"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"))
+    rows.write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["tile_pixels"])
+def test_points_on_edges_are_as_in_sql(spark, edge_events, name):
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{edge_events}/events.parquet/*.parquet'")
+        want = con.execute(queries.ORACLES[name]).fetchall()
+    assert rows_of(queries.QUERIES[name](spark, edge_events)) == sorted(want)
+
+
 def test_equal_names_are_published_by_id(spark):
     ids = [k * 7919 % 600 for k in range(600)]
     rows = spark.createDataFrame([(k, f"source {k % 2}") for k in ids], "id long, name string").repartition(7)
