@@ -84,7 +84,7 @@ def encode_tiles(
     features of a tile then meet sorted, and a tile streams through, so no tile's shapes are held as objects.
     Shapes that vanish on the grid are dropped, and tiles without features too.
     """
-    props = props or []
+    props, hair = props or [], tm.EARTH * 2**-50
 
     def snap(batches):
         for batch in batches:
@@ -96,7 +96,8 @@ def encode_tiles(
                 box, more = (left, top - size, left + size, top), size * buffer / extent
                 wide = (box[0] - more, box[1] - more, box[2] + more, box[3] + more)
                 for shape in geo.read_wkb(bytes(geoms[k])) if geoms[k] is not None else []:
-                    shape = geo.clip(shape, wide) if clip else shape
+                    # Tiles were found by other sums than these sides: a shape on an edge may be a hair outside.
+                    shape = geo.clip(geo.onto_sides(shape, wide, hair), wide) if clip else shape
                     shape = geo.snap(shape, box, extent) if shape else None
                     if shape:
                         keep.append(k)

@@ -64,7 +64,7 @@ def edge_events(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["tile_pixels"])
+@pytest.mark.parametrize("name", ["tile_pixels", "vector_tiles"])
 def test_points_on_edges_are_as_in_sql(spark, edge_events, name):
     with duckdb.connect() as con:
         con.execute(f"CREATE VIEW events AS SELECT * FROM '{edge_events}/events.parquet/*.parquet'")
