@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,6 @@ _BETWEEN = re.compile(r"[ .\-_*]+")
 LONGEST = 40
 PIECE, STEP = 4 * LONGEST, LONGEST
 _EDGE = " \t\n\r.,;:!?\"'()[]{}*#%&$<>=-_/\\|+~^`"
-_TOKEN = re.compile(r"\S+")
 #: Bytes that part words: every ASCII character but letters.
 _TO_SPACE = bytes(k if 97 <= k < 123 or k >= 128 else k + 32 if 65 <= k < 91 else 32 for k in range(256))
 _CODES = np.array([k - 96 if 97 <= k < 123 else k - 64 if 65 <= k < 91 else 0 for k in range(256)], dtype=np.int64)
@@ -98,6 +97,7 @@ class CharModel:
     """log P(c | a, b) over the letters a-z and 0 for anything else, from trigram counts."""
 
     logp: np.ndarray  # (27, 27, 27)
+    _flat: list[float] | None = field(default=None, repr=False, compare=False)  # the same for single look-ups
 
     @staticmethod
     def of(counts: dict[int, int]) -> CharModel:
@@ -114,7 +114,9 @@ class CharModel:
         if _PLAIN.fullmatch(plain) and not _DOUBLE.search(signs):
             return [plain]  # one reading a sign and no repeats: there is nothing to choose
         states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-        before = ""
+        if self._flat is None:
+            self._flat = self.logp.ravel().tolist()
+        flat, before = self._flat, ""
         for c in signs:
             if "a" <= c <= "z":
                 options = [(c, 0.0)]
@@ -128,13 +130,13 @@ class CharModel:
             for (a, b), paths in states.items():
                 for v, cost in options:
                     k = ord(v) - 96
-                    gain = self.logp[a, b, k] - cost - (_KEEP_REPEAT if repeated else 0)
-                    reached.setdefault((b, k), []).extend((s + gain, t + v) for s, t in paths)
+                    gain = flat[a * 729 + b * 27 + k] - cost - (_KEEP_REPEAT if repeated else 0)
+                    reached.setdefault((b, k), []).extend([(s + gain, t + v) for s, t in paths])
                 if repeated:
-                    reached.setdefault((a, b), []).extend((s - _DROP_REPEAT, t) for s, t in paths)
-            states = {k: sorted(set(v), reverse=True)[:best] for k, v in reached.items()}
+                    reached.setdefault((a, b), []).extend([(s - _DROP_REPEAT, t) for s, t in paths])
+            states = {k: sorted(set(v), reverse=True)[:best] if len(v) > 1 else v for k, v in reached.items()}
             before = c
-        ends = sorted(((s + self.logp[a, b, 0], t) for (a, b), paths in states.items() for s, t in paths), reverse=True)
+        ends = sorted(((s + flat[a * 729 + b * 27], t) for (a, b), paths in states.items() for s, t in paths), reverse=True)
         return list(dict.fromkeys(t for _, t in ends))[:best]
 
 
@@ -173,10 +175,30 @@ def with_stems(words: set[bytes]) -> set[bytes]:
 
 
 class Restorer:
-    """Finds disguised words and decodes them; keeps what it has decoded, up to a bound."""
+    """Finds disguised words and decodes them; keeps what it has decoded, up to a bound.
 
-    def __init__(self, model: CharModel, lexicon: frozenset[str] = frozenset()):
-        self.model, self.lexicon, self.seen, self.tokens = model, lexicon, {}, {}
+    With ``wanted``, the words and stems (with a star) that matter, words of which no reading may be one are not decoded.
+    """
+
+    def __init__(self, model: CharModel, lexicon: frozenset[str] = frozenset(), wanted: frozenset[bytes] | None = None):
+        self.model, self.lexicon, self.seen, self.tokens, self.plain = model, lexicon, {}, {}, set()
+        squeezed = [] if wanted is None else [_squeeze(w.removesuffix(b"*")).decode("latin-1") for w in wanted]
+        self.whole = None if wanted is None else frozenset(squeezed)
+        self.starts = frozenset(w[:k] for w in squeezed for k in range(len(w) + 1))
+
+    def may_matter(self, signs: str) -> bool:
+        """Whether some reading, each run of a letter taken once, begins with a wanted word or stem."""
+        if self.whole is None or "" in self.whole:
+            return True
+        begun = {""}
+        for c in signs:
+            options = "aeiou" if c == "*" else CHANNEL.get(c, c)
+            begun = {p if p[-1:] == v else p + v for p in begun for v in options} & self.starts
+            if not begun:
+                return False
+            if not begun.isdisjoint(self.whole):
+                return True
+        return False
 
     def decode(self, signs: str) -> list[str]:
         """The lexicon's words among the best decodings, or else the best one; nothing for plain words."""
@@ -191,26 +213,19 @@ class Restorer:
     def restored(self, text: str) -> list[str]:
         """Words behind leetspeak, look-alike signs, repeated letters and letters set apart."""
         lower = text.lower()
-        raw = np.frombuffer(lower.encode("utf-8", "replace"), dtype=np.uint8)
-        spots = [m.start() for m in _TRIGGER.finditer(lower)]
-        if len(raw) > 2 and ((raw[:-2] == raw[1:-1]) & (raw[2:] == raw[1:-1]) & (_CODES[raw[1:-1]] > 0)).any():
-            spots = sorted({*spots, *(m.start() for m in _TRIPLE.finditer(lower))})
-        out, done = [], 0
-        for at in spots:
-            if at < done:
-                continue
-            start = at
-            while start > done and not lower[start - 1].isspace():
-                start -= 1
-            m = _TOKEN.match(lower, start)
-            if not m or m.end() <= at:
-                continue
-            done = m.end()
-            if m[0] not in self.tokens:
+        out = []
+        for token in set(lower.split()) - self.plain:
+            found = self.tokens.get(token)
+            if found is None:
+                if not _TRIGGER.search(token) and not _TRIPLE.search(token):
+                    if len(self.plain) > 100_000:
+                        self.plain.clear()
+                    self.plain.add(token)
+                    continue
                 if len(self.tokens) > 100_000:
                     self.tokens.clear()
-                self.tokens[m[0]] = self._token(m[0])
-            out += self.tokens[m[0]]
+                found = self.tokens[token] = self._token(token)
+            out += found
         kinds = _kinds(lower)
         if (kinds & 16).any():
             lower = lower.translate(_WIDE)
@@ -229,7 +244,10 @@ class Restorer:
             for signs in dict.fromkeys((run.strip(_EDGE), run)):
                 signs = _REPEATS.sub(r"\1\1\1", signs)
                 if len(signs) >= 3 and not _NUMBER.fullmatch(signs):
-                    out += self.decode(signs) if len(signs) <= LONGEST else self._within(signs)
+                    if len(signs) > LONGEST:
+                        out += self._within(signs)
+                    elif self.may_matter(signs):
+                        out += self.decode(signs)
         return out
 
     def _within(self, signs: str) -> list[str]:
@@ -256,24 +274,43 @@ class Scorer:
     words: dict[bytes, int]  # word, or stem with a star -> feature
     weights: np.ndarray
     bias: float
+    _squeezed: dict[bytes, bytes] | None = field(default=None, repr=False, compare=False)
+    #: Words met, without and with features, up to a bound.
+    _nothing: set[bytes] = field(default_factory=set, repr=False, compare=False)
+    _known: dict[bytes, set[int]] = field(default_factory=dict, repr=False, compare=False)
 
     def restorer(self) -> Restorer:
-        return Restorer(self.chars, frozenset(w.decode("utf-8", "replace") for w in self.words if not w.endswith(b"*")))
+        return Restorer(self.chars, frozenset(w.decode("utf-8", "replace") for w in self.words if not w.endswith(b"*")), frozenset(self.words))
 
     def hits(self, restorer: Restorer, text: str) -> list[int]:
         found = plain_words(text) | {w.encode() for w in restorer.restored(text)}
-        starts = {w[: STEMS[0]] for w in self.words if w.endswith(b"*")} if not hasattr(self, "_starts") else self._starts
-        self._starts = starts
-        if not hasattr(self, "_squeezed"):
+        hits: set[int] = set()
+        for w in found - self._nothing:
+            own = self._known.get(w)
+            if own is None:
+                own = self._of(w)
+                kept = self._known if own else self._nothing
+                if len(kept) > 100_000:
+                    kept.clear()
+                if not own:
+                    kept.add(w)
+                    continue
+                kept[w] = own
+            hits |= own
+        return sorted(hits)
+
+    def _of(self, word: bytes) -> set[int]:
+        """The features of one word, by itself and by its stems."""
+        if self._squeezed is None:
             plain = (w for w in self.words if not w.endswith(b"*"))
             self._squeezed = {_squeeze(w): w for w in plain}
+        found = {word}
         # Letters that are only doubled are no trigger: too many words have one. A word with two more repeats than the lexicon's is it.
-        for w in [w for w in found if _REPEATED.search(w)]:
-            meant = self._squeezed.get(_squeeze(w))
-            if meant is not None and len(w) >= len(meant) + 2:
+        if _REPEATED.search(word):
+            meant = self._squeezed.get(_squeeze(word))
+            if meant is not None and len(word) >= len(meant) + 2:
                 found.add(meant)
-        stems = with_stems({w for w in found if w[: STEMS[0]] in starts})
-        return sorted({self.words[w] for w in (found | stems) & self.words.keys()})
+        return {self.words[w] for w in with_stems(found) & self.words.keys()}
 
     def score(self, hits: list[int]) -> float:
         total = self.bias + self.weights[hits].sum()

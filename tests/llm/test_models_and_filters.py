@@ -146,6 +146,22 @@ def test_doubled_letters_are_read():
     assert scorer.hits(scorer.restorer(), "sstuupid") == [0] and scorer.hits(scorer.restorer(), "stuupid books") == []
 
 
+def test_only_words_that_may_matter_are_decoded():
+    model, words = plain_restorer().model, {b"stupid": 0, b"idiot*": 1, b"moron": 2, b"look": 3}
+    scorer = toxicity.Scorer(model, words, np.ones(4), -2.0)
+    restorer = scorer.restorer()
+    assert scorer.hits(restorer, "w0nd3rful m0rn1ng, gr8 fr1ends") == [] and not restorer.seen
+    every = toxicity.Restorer(model, restorer.lexicon)
+    rng, hit = np.random.default_rng(3), 0
+    for _ in range(3000):
+        word = str(rng.choice(["stupid", "idiotic", "moron", "look", "plain", "store"]))
+        signs = [str(rng.choice(list(c * 40 + "*01!3@5tu"))) * int(rng.choice([1, 1, 1, 2, 4])) for c in word]
+        got = scorer.hits(restorer, f"({''.join(signs)})")
+        assert got == scorer.hits(every, f"({''.join(signs)})"), signs
+        hit += bool(got)
+    assert hit > 100
+
+
 def test_toxicity_held_out(spark):
     rows = held_out_rows(spark, "op4_toxicity", "toxic", 5, 0)
     assert np.mean([a == b for a, b in rows]) > 0.9
