@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 from dataclasses import dataclass
 
@@ -26,6 +27,11 @@ COUNTED_AT_ONCE = 2_000_000
 
 #: An odd factor a lexicon: a term is in it at level j if the upper j bits of their product are 0.
 _FACTORS = mix(np.arange(1, LEXICONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Every value of a View, mixed; the lexicons' numbers and the one after.
+_MIXED = mix(np.arange(1 << 16, dtype=np.uint64))
+_BORDERS = np.arange(LEXICONS + WHOLE_LEXICONS + 1, dtype=np.uint8)
+#: Words that a task knows the hashes of.
+KNOWN_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -61,16 +67,9 @@ class View:
         whole, rest = np.frombuffer(raw[8 : 8 + 4 * k], dtype=np.uint8), raw[8 + 4 * k :]
         return View(n, whole[:k], whole[k : 2 * k], whole[2 * k :].view("<u2")), rest
 
-    def hashes(self, level: int, lexicons: int) -> np.ndarray:
-        """A hash a lexicon of the terms that it has at ``level``; 0 for none."""
-        here = self.top >= level
-        total, count = np.zeros(lexicons, dtype=np.uint64), np.bincount(self.which[here], minlength=lexicons)
-        np.add.at(total, self.which[here], mix(self.value[here].astype(np.uint64)))
-        return np.where(count > 0, mix(total) | np.uint64(1), np.uint64(0))
-
 
 def _level(n: int) -> int:
-    return max(0, round(float(np.log2(max(n, 1) / TERMS))))
+    return max(0, round(math.log2(max(n, 1) / TERMS)))
 
 
 @dataclass(frozen=True)
@@ -81,6 +80,16 @@ class Fingerprint:
     def pack(self) -> bytes:
         return self.band.pack() + self.whole.pack()
 
+    def hashes(self, band: int, whole: int) -> np.ndarray:
+        """A hash a lexicon of the terms that it has at the level ``band`` or ``whole``; 0 for none."""
+        b, w = self.band.top >= band, self.whole.top >= whole
+        which = np.concatenate((self.band.which[b], self.whole.which[w] + np.uint8(LEXICONS)))  # rising
+        sums = np.zeros(len(which) + 1, dtype=np.uint64)
+        np.cumsum(_MIXED[np.concatenate((self.band.value[b], self.whole.value[w]))], out=sums[1:])
+        ends = np.searchsorted(which, _BORDERS)
+        total = sums[ends[1:]] - sums[ends[:-1]]
+        return np.where(ends[1:] > ends[:-1], mix(total) | np.uint64(1), np.uint64(0))
+
     @staticmethod
     def unpack(raw: bytes) -> Fingerprint:
         band, rest = View.unpack(raw)
@@ -98,13 +107,10 @@ def fingerprint(terms: np.ndarray, lexicon: np.ndarray) -> Fingerprint:
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """Share of equal hashes among all lexicons that hold terms of either, at the larger set's level; 1 for equal fingerprints."""
-    equal = some = 0
-    for x, y, lexicons in ((a.band, b.band, LEXICONS), (a.whole, b.whole, WHOLE_LEXICONS)):
-        level = _level(max(x.n, y.n))
-        u, v = x.hashes(level, lexicons), y.hashes(level, lexicons)
-        held = (u != 0) | (v != 0)
-        equal += int(((u == v) & held).sum())
-        some += int(held.sum())
+    levels = _level(max(a.band.n, b.band.n)), _level(max(a.whole.n, b.whole.n))
+    u, v = a.hashes(*levels), b.hashes(*levels)
+    held = (u | v) != 0
+    equal, some = int(np.count_nonzero((u == v) & held)), int(np.count_nonzero(held))
     return equal / some if some else float(a.pack() == b.pack())
 
 
@@ -114,6 +120,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def edited_words(text: str, words: np.ndarray, following: str, ids: WordIds) -> np.ndarray:
+    """The hashes of the words of ``edited``, from those of ``text``: only what comes after its last whole word that stays is split anew."""
+    k = len(text) // 3
+    stay = len(text) - k
+    at = max(text.rfind(c, 0, stay) for c in " \t\n\r\x0b\x0c") + 1
+    kept = len(words) - len(ascii_words(text[at:]))
+    return np.concatenate((words[:kept], ids.array(ascii_words(text[at:stay] + following[:k]))))
+
+
 def _summed(terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct terms, sorted, and the sums of their counts."""
     order = np.argsort(terms, kind="stable")
@@ -135,7 +150,7 @@ def lexicon_of(docs: DataFrame, text: str = "text") -> np.ndarray:
         def batch_of(terms, n):
             return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n)], names=["term", "n"])
 
-        ids, found, held, (terms, n) = WordIds(), [], 0, none
+        ids, found, held, (terms, n) = WordIds(KNOWN_WORDS), [], 0, none
         for batch in pieces(batches):
             for t in batch.column(0).to_pylist():
                 found.append(np.unique(ids.array(ascii_words(t))))
@@ -176,12 +191,12 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text").asc(), F.col("place").asc()]
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("id", "text")
 
-    def make(t: str, ids: WordIds) -> Fingerprint:
-        return fingerprint(np.unique(ids.array(ascii_words(t))), lexicon.value)
+    def make(words: np.ndarray) -> Fingerprint:
+        return fingerprint(np.unique(words), lexicon.value)
 
-    def result(i, t, own: Fingerprint, next_text: str, following: Fingerprint, ids: WordIds):
+    def result(i, t, words: np.ndarray, own: Fingerprint, next_text: str, following: Fingerprint, ids: WordIds):
         changed = edited(t, next_text)
-        other = make(changed, ids)
+        other = make(edited_words(t, words, next_text, ids))
         digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
         return i, len(t), digest, own.pack(), other.pack(), likeness(own, other), likeness(own, following), None, None, None
 
@@ -194,13 +209,14 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [id_type, *kinds], strict=True)], names=names)
 
     def run(batches):
-        ids, before, first, id_type = WordIds(), None, None, pa.null()
+        ids, before, first, id_type = WordIds(KNOWN_WORDS), None, None, pa.null()
         for batch in pieces(batches):
             id_type, out = batch.column("id").type, []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                row = (i, t, make(t, ids))
+                words = ids.array(ascii_words(t))
+                row = (i, t, words, make(words))
                 if before:
-                    out.append(result(*before, t, row[2], ids))
+                    out.append(result(*before, t, row[3], ids))
                 else:
                     first = t
                 before = row
@@ -214,8 +230,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def finish(batches):
         ids = WordIds()
         for batch in batches:
-            rows = zip(*[batch.column(c).to_pylist() for c in ("id", "last", "first")], strict=True)
-            yield batch_of([result(i, t, make(t, ids), following, make(following, ids), ids) for i, t, following in rows], batch.column("id").type).select(names[:7])
+            out = []
+            for i, t, following in zip(*[batch.column(c).to_pylist() for c in ("id", "last", "first")], strict=True):
+                words = ids.array(ascii_words(t))
+                out.append(result(i, t, words, make(words), following, make(ids.array(ascii_words(following))), ids))
+            yield batch_of(out, batch.column("id").type).select(names[:7])
 
     staged = stage(dealt.mapInArrow(run, f"{made}, part bigint, first string, last string"))
     ends = staged.filter("part is not null")

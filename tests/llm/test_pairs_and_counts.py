@@ -251,6 +251,19 @@ def test_likeness_holds_for_any_sizes():
     assert np.mean(seen) > 0.5
 
 
+def test_edited_words_are_those_of_the_edited_text():
+    rnd, ids, split = np.random.default_rng(6), WordIds(), []
+    for _ in range(3000):
+        text, following = ("".join(rnd.choice(list("aB0é \t\n\r\x0b\x0c\x1c\x85\u2003\U0001f600\ud800"), rnd.integers(0, 30))) for _ in range(2))
+        words = ids.array(ascii_words(text))
+        got = fingerprints.edited_words(text, words, following, ids)
+        assert got.tolist() == ids.array(ascii_words(fingerprints.edited(text, following))).tolist(), (text, following)
+    text, following = "one two three four five six seven eight nine", "a b c d e f g h i j k l m"
+    words, ids.array = ids.array(ascii_words(text)), lambda w, of=ids.array: split.append(len(w)) or of(w)
+    fingerprints.edited_words(text, words, following, ids)
+    assert split == [7]  # the word at the seam, "sea", and six more; the first six are not looked up again
+
+
 def test_equal_texts_have_equal_fingerprints():
     lexicon = np.arange(0, 2**40, 2**30, dtype=np.uint64)
     terms = np.unique(np.concatenate([lexicon[::3], np.array([5, 7], dtype=np.uint64)]))
